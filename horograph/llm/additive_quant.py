@@ -101,7 +101,7 @@ class Quantizer:
     beam: int = 4
 
     @classmethod
-    def fit(cls, h: np.ndarray, cells: int, words: int = 64, levels: int = 4, beam: int = 4, rounds: int = 10, seed: int = 7) -> "Quantizer":
+    def fit(cls, h: np.ndarray, cells: int, words: int = 256, levels: int = 8, beam: int = 4, rounds: int = 10, seed: int = 7) -> "Quantizer":
         centres = lorentz_kmeans(h, cells, rounds, seed)
         rng = np.random.default_rng(seed)
         some = h if len(h) <= 20_000 else h[rng.choice(len(h), 20_000, replace=False)]
