@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from horograph.llm import cooccurrence, neighbors
+from horograph.llm import cooccurrence, leaks, mixing, neighbors, subjects
 from horograph.plans.catalog import Catalog
 from horograph.runtime import table
 
@@ -48,3 +48,58 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add("p3_pairs", _CN + "SELECT net_id, node_a, node_b, empirical_cn, n_a, n_b, nodes, round(empirical_cn * nodes / (n_a * n_b), 6) AS ratio FROM f")
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cooccurrence.cooccurring(table(spark, sf_dir, "network_edges")).withColumn("ratio", F.round("ratio", 6))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@catalog.add("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@catalog.add("p6_items")
+def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test items that leaked, with the number of documents and the largest share found."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("share").alias("largest_share"))
+
+
+@catalog.add("p6_spans")
+def p6_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.removal_spans(_leaks(spark, sf_dir))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+@catalog.add("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1].where("falls_short").select("source")
+
+
+@catalog.add("p7_report")
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+@catalog.add("p7_mix")
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0]
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return subjects.classify(docs, subjects.learn(docs, table(spark, sf_dir, "doc_subjects"), table(spark, sf_dir, "subjects")))
+
+
+@catalog.add("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = table(spark, sf_dir, "doc_subjects").where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return _areas(spark, sf_dir).join(labelled, "doc_id", "left_anti").select("doc_id", "subject")
+
+
+@catalog.add("p8_composition")
+def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(table(spark, sf_dir, "documents"), _areas(spark, sf_dir))
