@@ -57,7 +57,10 @@ def references(df: DataFrame, name: str, row_id: str, at: str, arrived: str, ids
 
 def airport_parents(airports: DataFrame) -> DataFrame:
     cells = F.array(F.struct(F.lit("id").alias("kind"), F.col("airport_id").cast("string").alias("key")), F.struct(F.lit("code").alias("kind"), code(F.col("iata")).alias("key")))
-    rows = airports.select(F.col("airport_id").cast("string").alias("parent"), F.col("added_at").cast(TIME).alias("valid_from"), F.col("removed_at").cast(TIME).alias("valid_to"), F.explode(cells).alias("c"))
+    # rows of one id may differ in their interval: each interval is a parent of its own
+    span = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    parent = F.concat_ws("|", F.col("airport_id").cast("string"), span("added_at"), span("removed_at"))
+    rows = airports.select(parent.alias("parent"), F.col("added_at").cast(TIME).alias("valid_from"), F.col("removed_at").cast(TIME).alias("valid_to"), F.explode(cells).alias("c"))
     return rows.where(F.col("c.key").isNotNull()).select("parent", "c.kind", "c.key", "valid_from", "valid_to")
 
 
