@@ -6,10 +6,11 @@ written as ids of the words of the test items (any other word is 0) and indexed
 their occurrences located from sampled suffix positions, and gathered per
 document and item: the score is the share of the item's words covered by
 occurrences whose offset between document and item lies in a narrow band, which
-inserted or lost words shift only little.  A changed word spoils at most
-``seed`` phrases, so a passage of half an item with one word in eight changed
-still covers well over a third of it, while a quarter of an item, or shared
-turns of phrase, cover less.
+inserted or lost words shift only little.  Where that share reaches ``FIRST``,
+an exact check compares the words of item and document at every offset of the
+band and counts the item's words in equal runs of at least ``RUN`` words.  A
+passage of half an item with one word in eight changed covers well over a third
+of it so, a quarter of an item together with shared turns of phrase less.
 
 The items are the one broadcast: they are a fixed test set, and its number of
 words is checked against ``MAX_ITEM_WORDS``.  A document longer than a block is
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from horograph.llm.fm_index import FMIndex, phrase_steps
 from horograph.llm.text import WordIds, words
 
-SEED, SHARE, BLOCK_WORDS = 5, 0.38, 800_000
+SEED, FIRST, RUN, SHARE, BLOCK_WORDS = 5, 0.18, 3, 0.36, 800_000
 MAX_ITEM_WORDS = 20_000_000
 SCHEMA = "doc_id bigint, item_id bigint, share double, first_word bigint, last_word bigint"
 
@@ -46,6 +47,7 @@ class Phrases:
         texts = [words(t) for _, t in items]
         self.vocabulary: dict[str, int] = {}
         ids = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in t], np.int64) for t in texts]
+        self.words = ids
         self.length = np.array([len(t) for t in ids], np.int64)
         place = [(n, p) for n, t in enumerate(ids) for p in range(len(t) - seed + 1)]
         every = np.array([ids[n][p : p + seed] for n, p in place], np.int64).reshape(-1, seed)
@@ -67,13 +69,13 @@ def _repeat_ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(first, n)
 
 
-def _best_band(offset: np.ndarray, at: np.ndarray, length: int, seed: int, need: int) -> tuple[int, int, int]:
-    """Most words of an item covered by occurrences with offsets in one band: (covered, first, last) as document words."""
+def _best_band(offset: np.ndarray, at: np.ndarray, length: int, seed: int, need: int) -> tuple[int, int]:
+    """Most words of an item covered by occurrences with offsets in one band, and the lowest offset of that band."""
     order = np.argsort(offset, kind="stable")
     offset, at = offset[order], at[order]
     width = max(16, length // 4)
     ends = np.searchsorted(offset, offset + width, side="right")
-    best = (0, 0, 0)
+    best = (0, 0)
     for s in np.flatnonzero((ends - np.arange(len(offset))) * seed >= need):
         if s and offset[s] == offset[s - 1] or (ends[s] - s) * seed <= best[0]:
             continue
@@ -83,11 +85,30 @@ def _best_band(offset: np.ndarray, at: np.ndarray, length: int, seed: int, need:
         np.add.at(cover, np.minimum(p + seed, length), -1)
         covered = int((np.cumsum(cover)[:length] > 0).sum())
         if covered > best[0]:
-            where = at[s : ends[s]] + offset[s : ends[s]]
-            best = (covered, int(where.min()), int(where.max()) + seed - 1)
+            best = (covered, int(offset[s]))
     return best
 
 
+def _exact(item: np.ndarray, doc: np.ndarray, low: int, run: int) -> tuple[float, int, int]:
+    """Share of the item's words in equal runs of ``run`` words at offsets of the band from ``low``, first and last document word."""
+    n = len(item)
+    if n < run:
+        return 0.0, 0, 0
+    width = max(16, n // 4)
+    offset = np.arange(low - width // 2, low + width + 1)
+    at = np.arange(n)[None] + offset[:, None]
+    same = (at >= 0) & (at < len(doc)) & (doc[np.clip(at, 0, len(doc) - 1)] == item[None])
+    begin = same[:, : n - run + 1].copy()
+    for k in range(1, run):
+        begin &= same[:, k : n - run + 1 + k]
+    cover = np.zeros(same.shape, bool)
+    for k in range(run):
+        cover[:, k : n - run + 1 + k] |= begin
+    if not cover.any():
+        return 0.0, 0, 0
+    return float(cover.any(axis=0).mean()), int(at[cover].min()), int(at[cover].max())
+
+
 def _search_block(seq: np.ndarray, starts: np.ndarray, phrases: Phrases, share: float) -> list[tuple[int, int, float, int, int]]:
     """(document index in the block, item, share, first word, last word)."""
     index = FMIndex(seq, len(phrases.vocabulary) + 1)
@@ -103,7 +124,7 @@ def _search_block(seq: np.ndarray, starts: np.ndarray, phrases: Phrases, share:
     item, at = phrases.item[place], phrases.at[place]
     doc, word = np.repeat(doc, places), np.repeat(where - starts[doc], places)
     key = doc * len(phrases.length) + item
-    need = np.ceil(share * phrases.length).astype(np.int64)
+    need = np.ceil(min(FIRST, share) * phrases.length).astype(np.int64)
     # an item's phrases that occur bound what they can cover
     _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
     keep = np.flatnonzero(count[inverse] * phrases.seed >= need[item])
@@ -114,9 +135,12 @@ def _search_block(seq: np.ndarray, starts: np.ndarray, phrases: Phrases, share:
         k = keep[s:e]
         d, i = int(doc[k[0]]), int(item[k[0]])
         length = int(phrases.length[i])
-        covered, a, b = _best_band(word[k] - at[k], at[k], length, phrases.seed, int(need[i]))
+        covered, low = _best_band(word[k] - at[k], at[k], length, phrases.seed, int(need[i]))
         if covered >= need[i]:
-            out.append((d, i, covered / length, a, b))
+            end = starts[d + 1] if d + 1 < len(starts) else len(seq)
+            found, a, b = _exact(phrases.words[i], seq[starts[d] : end], low, RUN)
+            if found >= share:
+                out.append((d, i, found, a, b))
     return out
 
 
