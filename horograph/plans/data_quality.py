@@ -13,7 +13,7 @@ from horograph.sources.route_lines import parse_routes
 catalog = Catalog()
 
 _FIELD = '"(?:[^"]|"")*"|[^",]*'
-_JUDGED = rf"""
+JUDGED = rf"""
 WITH l AS (SELECT line_id, regexp_replace(raw_line, '\r$', '') AS line FROM routes_raw),
 f AS (SELECT line_id, regexp_full_match(line, '(?:{_FIELD})(?:,(?:{_FIELD}))*') AS quoted,
              regexp_extract_all(',' || line, ',({_FIELD})', 1) AS v FROM l),
@@ -28,20 +28,20 @@ def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return parse_routes(table(spark, sf_dir, "routes_raw"))
 
 
-@catalog.add("p1_found", _JUDGED + "SELECT line_id, reason FROM j WHERE reason IS NOT NULL")
+@catalog.add("p1_found", JUDGED + "SELECT line_id, reason FROM j WHERE reason IS NOT NULL")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir)[1].select("line_id", "reason")
 
 
 @catalog.add(
     "p1_routes",
-    _JUDGED + r"SELECT line_id, CASE WHEN s <> '\N' THEN CAST(s AS BIGINT) END AS src, CASE WHEN d <> '\N' THEN CAST(d AS BIGINT) END AS dst FROM j WHERE reason IS NULL",
+    JUDGED + r"SELECT line_id, CASE WHEN s <> '\N' THEN CAST(s AS BIGINT) END AS src, CASE WHEN d <> '\N' THEN CAST(d AS BIGINT) END AS dst FROM j WHERE reason IS NULL",
 )
 def p1_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir)[0].select("line_id", "src", "dst")
 
 
-@catalog.add("p1_reasons", _JUDGED + "SELECT reason, CAST(count(*) AS BIGINT) AS lines FROM j WHERE reason IS NOT NULL GROUP BY reason")
+@catalog.add("p1_reasons", JUDGED + "SELECT reason, CAST(count(*) AS BIGINT) AS lines FROM j WHERE reason IS NOT NULL GROUP BY reason")
 def p1_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from horograph.functions import charts, distances
-from horograph.functions.vectors import norm, norm2, unit
+from horograph.functions.vectors import unit
 from horograph.operators import graph, links, pairs, parameters, ranking
 from horograph.plans.catalog import Catalog
 from horograph.runtime import materialize, table
@@ -35,12 +35,12 @@ def rg_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
 
 
-_EMB = """
+EMB = """
 WITH e0 AS (SELECT vec_id AS node_id, label, 2 * atanh((1 + vec_id % 9) / 10.0) AS r, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS u FROM embeddings WHERE embedding IS NOT NULL),
 emb AS (SELECT node_id, label, r, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) AS v FROM e0)
 """
 _PAIRS = (
-    _EMB
+    EMB
     + """, m AS (SELECT a.node_id AS i, b.node_id AS j, a.label AS li, b.label AS lj,
   2 * pow((exp((a.r - b.r) / 2) - exp((b.r - a.r) / 2)) / 2, 2) + 0.5 * (exp(a.r) - exp(-a.r)) / 2 * (exp(b.r) - exp(-b.r)) / 2 * pow(list_distance(a.v, b.v), 2) AS m
   FROM emb a JOIN emb b ON a.node_id < b.node_id),
@@ -61,7 +61,7 @@ def _coords(df: DataFrame, c: str) -> DataFrame:
 
 
 def _coords_sql(x: str) -> str:
-    return _EMB + f", q AS (SELECT node_id, {x} AS x FROM emb) SELECT node_id, round(x[1], 7) AS x0, round(x[2], 7) AS x1, round(list_sum(x), 6) AS total FROM q"
+    return EMB + f", q AS (SELECT node_id, {x} AS x FROM emb) SELECT node_id, round(x[1], 7) AS x0, round(x[2], 7) AS x1, round(list_sum(x), 6) AS total FROM q"
 
 
 _SINH, _COSH = "((exp(r) - exp(-r)) / 2)", "((exp(r) + exp(-r)) / 2)"
@@ -73,7 +73,7 @@ def polar_to_ball(spark, d):
     return _coords(emb(spark, d).withColumn("x", charts.polar_to_ball(F.col("r"), F.col("v"))), "x")
 
 
-@catalog.add("ball_to_polar", _EMB + "SELECT node_id, round(r, 7) AS r, round(v[1], 7) AS v0 FROM emb")
+@catalog.add("ball_to_polar", EMB + "SELECT node_id, round(r, 7) AS r, round(v[1], 7) AS v0 FROM emb")
 def ball_to_polar(spark, d):
     r, v = charts.ball_to_polar(F.col("x"))
     return emb(spark, d).withColumn("x", charts.polar_to_ball(F.col("r"), F.col("v"))).select("node_id", F.round(r, 7).alias("r"), F.round(v[0], 7).alias("v0"))
@@ -84,7 +84,7 @@ def polar_to_hyperboloid(spark, d):
     return _coords(emb(spark, d).withColumn("h", charts.polar_to_hyperboloid(F.col("r"), F.col("v"))), "h")
 
 
-@catalog.add("hyperboloid_to_polar", _EMB + "SELECT node_id, round(r, 7) AS r, round(v[1], 7) AS v0 FROM emb")
+@catalog.add("hyperboloid_to_polar", EMB + "SELECT node_id, round(r, 7) AS r, round(v[1], 7) AS v0 FROM emb")
 def hyperboloid_to_polar(spark, d):
     r, v = charts.hyperboloid_to_polar(F.col("h"))
     return emb(spark, d).withColumn("h", charts.polar_to_hyperboloid(F.col("r"), F.col("v"))).select("node_id", F.round(r, 7).alias("r"), F.round(v[0], 7).alias("v0"))
@@ -109,13 +109,13 @@ def tangent_vector(spark, d):
 _FLAT = ", f AS (SELECT node_id, r, atan2(v[2], v[1]) AS theta FROM emb) "
 
 
-@catalog.add("polar_to_poincare_2d", _EMB + _FLAT + "SELECT node_id, round(tanh(r / 2) * cos(theta), 7) AS x, round(tanh(r / 2) * sin(theta), 7) AS y FROM f")
+@catalog.add("polar_to_poincare_2d", EMB + _FLAT + "SELECT node_id, round(tanh(r / 2) * cos(theta), 7) AS x, round(tanh(r / 2) * sin(theta), 7) AS y FROM f")
 def polar_to_poincare_2d(spark, d):
     x = charts.flat_polar_to_ball(F.atan2(F.col("v")[1], F.col("v")[0]), F.col("r"))
     return emb(spark, d).select("node_id", F.round(x[0], 7).alias("x"), F.round(x[1], 7).alias("y"))
 
 
-@catalog.add("poincare_to_polar_2d", _EMB + _FLAT + "SELECT node_id, round(CASE WHEN theta < 0 THEN theta + 2 * pi() ELSE theta END, 7) AS theta, round(r, 7) AS r FROM f")
+@catalog.add("poincare_to_polar_2d", EMB + _FLAT + "SELECT node_id, round(CASE WHEN theta < 0 THEN theta + 2 * pi() ELSE theta END, 7) AS theta, round(r, 7) AS r FROM f")
 def poincare_to_polar_2d(spark, d):
     flat = emb(spark, d).withColumn("x", charts.flat_polar_to_ball(F.atan2(F.col("v")[1], F.col("v")[0]), F.col("r")))
     theta, r = charts.ball_to_flat_polar(F.col("x"))
@@ -131,7 +131,7 @@ def hyperspherical_roundtrip(spark, d):
 
 @catalog.add(
     "poincare_recenter",
-    _EMB
+    EMB
     + f""", x AS (SELECT node_id, {_BALL} AS x FROM emb), c AS (SELECT x AS c FROM x ORDER BY node_id LIMIT 1),
  t AS (SELECT node_id, x, c, -list_dot_product(c, x) AS g, list_dot_product(c, c) AS c2, list_dot_product(x, x) AS x2 FROM x, c),
  k AS (SELECT node_id, x, c, -(1 + 2 * g + x2) / (1 + 2 * g + c2 * x2) AS kc, (1 - c2) / (1 + 2 * g + c2 * x2) AS kx FROM t)
@@ -235,7 +235,7 @@ def degree_histogram(spark, d):
     return graph.degrees(rg(spark, d)).groupBy("degree").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-_TRI = (
+TRIANGLES = (
     _RG
     + """, tri AS (SELECT x.src AS a, x.dst AS b, y.dst AS c FROM rg x JOIN rg y ON y.src = x.dst JOIN rg z ON z.src = x.src AND z.dst = y.dst),
 per AS (SELECT node_id, CAST(count(*) AS BIGINT) AS t FROM (SELECT a AS node_id FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY 1),
@@ -244,14 +244,14 @@ cl AS (SELECT node_id, degree, coalesce(t, 0) AS triangles, CASE WHEN degree > 1
 )
 
 
-@catalog.add("triangle_clustering", _TRI + "SELECT node_id, degree, CAST(triangles AS BIGINT) AS triangles, round(clustering, 9) AS clustering FROM cl")
+@catalog.add("triangle_clustering", TRIANGLES + "SELECT node_id, degree, CAST(triangles AS BIGINT) AS triangles, round(clustering, 9) AS clustering FROM cl")
 def triangle_clustering(spark, d):
     return graph.clustering(rg(spark, d)).withColumn("clustering", F.round("clustering", 9))
 
 
 @catalog.add(
     "degree_stats",
-    _TRI
+    TRIANGLES
     + """SELECT CAST(count(*) AS BIGINT) AS nodes, CAST(sum(degree) / 2 AS BIGINT) AS edges, round(avg(degree), 6) AS mean_degree, round(stddev_pop(degree), 6) AS std_degree,
  max(degree) AS max_degree, round(avg(clustering), 6) AS average_clustering, round(sum(triangles) / sum(degree * (degree - 1) / 2), 6) AS transitivity FROM cl""",
 )
@@ -262,7 +262,7 @@ def degree_stats(spark, d):
 
 @catalog.add(
     "common_neighbors",
-    _TRI
+    TRIANGLES
     + """, side AS (SELECT a AS src, b AS dst FROM tri UNION ALL SELECT a, c FROM tri UNION ALL SELECT b, c FROM tri), n AS (SELECT src, dst, count(*) AS k FROM side GROUP BY 1, 2)
  SELECT src, dst, CAST(coalesce(k, 0) AS BIGINT) AS common FROM rg LEFT JOIN n USING (src, dst)""",
 )
@@ -379,9 +379,6 @@ def knn_classification(spark, d):
     return top.select(F.col("a").alias("node_id"), F.col("lb").alias("predicted")).join(e.select("node_id", "label"), "node_id")
 
 
-_SAME = _PAIRS + ", "
-
-
 def label_graph(spark, d) -> DataFrame:
     """Pairs of vectors with the same label, as edges of weight 1."""
     e = emb(spark, d)
@@ -617,4 +614,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.roc_auc(c, higher_is_link=False).crossJoin(ranking.hits_at(c, 20, higher_is_link=False)).crossJoin(ranking.precision_recall_f1(c, higher_is_link=False))
 
 
-__all__ = ["catalog", "emb", "flagship", "label_graph", "norm", "norm2", "rg"]
+__all__ = ["EMB", "TRIANGLES", "catalog", "emb", "flagship", "label_graph", "rg"]

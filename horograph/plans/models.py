@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horograph.operators import dense, embedders, generation, graph, links, pairs
+from horograph.operators import dense, embedders, evaluation, generation, graph, links, pairs
+from horograph.plans import data_quality
 from horograph.plans.catalog import Catalog
-from horograph.plans.hyperbolic import emb, rg
+from horograph.plans.hyperbolic import EMB, TRIANGLES, emb, rg
 from horograph.runtime import checkpoint_dir, materialize, table
+from horograph.sources.route_lines import parse_routes
 from horograph.streaming import deltas
 
 catalog = Catalog()
@@ -136,9 +138,63 @@ def hypermap(spark, d):
     return _out(embedders.HyperMap(gamma=2.5, n_steps=20).fit(_tree(spark)))
 
 
+@catalog.add("dmercator")
+def dmercator(spark, d):
+    return _out(embedders.DMercator(n_steps=30).fit(_tree(spark)))
+
+
 @catalog.add("unknown_edge_joint_fit")
 def unknown_edge_joint_fit(spark, d):
     t = materialize(_tree(spark))
     unknown = links.split_edges(t, 0.9, 3).where(F.col("part") == "R").select("src", "dst")
     extra = spark.createDataFrame([(7, 8), (3, 20)], "src bigint, dst bigint")
     return embedders.PoincareEmbeddings(loss="fermi_dirac", n_steps=60, lr=0.05, lr_a=0.05).fit(t, unknown.unionByName(extra)).unknown
+
+
+@catalog.add(
+    "route_line_graph",
+    data_quality.JUDGED
+    + r""", g AS (SELECT CASE WHEN s <> '\N' THEN CAST(s AS BIGINT) END AS a, CASE WHEN d <> '\N' THEN CAST(d AS BIGINT) END AS b FROM j WHERE reason IS NULL)
+ SELECT least(a, b) AS src, greatest(a, b) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM g WHERE a <> b GROUP BY 1, 2""",
+)
+def route_line_graph(spark, d):
+    """The graph of the raw route lines that parse."""
+    return graph.canonical_edges(parse_routes(table(spark, d, "routes_raw"))[0])
+
+
+@catalog.add(
+    "degree_triangle_correlation",
+    TRIANGLES
+    + """, r AS (SELECT degree, triangles, rank() OVER (ORDER BY degree) + (count(*) OVER (PARTITION BY degree) - 1) / 2 AS rd, rank() OVER (ORDER BY triangles) + (count(*) OVER (PARTITION BY triangles) - 1) / 2 AS rt FROM cl)
+ SELECT round(corr(degree, triangles), 6) AS pearson, round(corr(rd, rt), 6) AS spearman FROM r""",
+)
+def degree_triangle_correlation(spark, d):
+    c = evaluation.correlations(graph.clustering(rg(spark, d)), "degree", "triangles")
+    return c.select(F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+@catalog.add(
+    "disk_display",
+    EMB
+    + """, s AS (SELECT min(r) AS lo, max(r) AS hi FROM emb), f AS (SELECT node_id, 0.97 * (r - lo) / (hi - lo) AS rho, atan2(v[2], v[1]) AS t FROM emb, s)
+ SELECT node_id, round(rho * cos(t), 7) AS x, round(rho * sin(t), 7) AS y FROM f""",
+)
+def disk_display(spark, d):
+    n = emb(spark, d).withColumn("theta", F.atan2(F.col("v")[1], F.col("v")[0]))
+    return evaluation.disk_coordinates(n).select("node_id", F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
+
+
+@catalog.add("chart_conditioning")
+def chart_conditioning(spark, d):
+    return evaluation.chart_errors(spark, [1, 2, 4, 6, 8, 10, 12, 14, 16, 18])
+
+
+@catalog.add("geometry_diagnostics")
+def geometry_diagnostics(spark, d):
+    return evaluation.diagnose(rg(spark, d))
+
+
+@catalog.add("link_prediction_spectral")
+def link_prediction_spectral(spark, d):
+    splits = evaluation.prepare_splits(rg(spark, d), [0], 0.9, giant=True)
+    return evaluation.evaluate(splits, "spectral", evaluation.spectral_scores(8), higher_is_link=True)

@@ -172,3 +172,20 @@ def test_dense_kernels():
     for k in (2, 3, 4, 5):
         cost = rng.random((k, k))
         assert dense.transport_cost(np.full(k, 1 / k), np.full(k, 1 / k), cost) == pytest.approx(min(sum(cost[i, p[i]] for i in range(k)) / k for p in permutations(range(k))))
+
+
+def test_sphere_model_start():
+    from horograph.operators.sphere_model import initialise, local_clustering, onion
+
+    a = np.zeros((34, 34))
+    for x, y in EDGES:
+        a[x, y] = a[y, x] = 1
+    assert local_clustering(a) == pytest.approx(0.5706384782)
+    assert sorted(onion(a, np.random.default_rng(0))) == list(range(34))
+    for dim in (1, 2):
+        s = initialise(a, dim, seed=1)
+        assert s["v"].shape == (34, dim + 1) and np.allclose(np.linalg.norm(s["v"], axis=1), 1)
+        assert s["beta"] > dim and (s["r"] >= 0).all() and np.corrcoef(s["r"], a.sum(axis=1))[0, 1] < -0.5
+        d = dense.polar_matrix(s["r"], s["v"])
+        link, other = d[(a > 0)], d[(a == 0) & ~np.eye(34, dtype=bool)]
+        assert (link[:, None] < other[None]).mean() > 0.75
