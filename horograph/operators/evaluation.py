@@ -104,14 +104,19 @@ def diagnose(edges: DataFrame, quadruples: int = 20_000, ricci_edges: int = 500,
     s = graph.degree_and_clustering(e)
     h = dense.mean_hyperbolicity(graph.largest_component(e), quadruples, seed)
     r = dense.ricci_curvature(e, ricci_edges, seed).select(F.col("mean").alias("ricci_mean"), F.col("negative").alias("ricci_negative"))
-    scan = parameters.continuous_scan(materialize(graph.degrees(e)))
-    best = scan.orderBy("ks", "k_min").limit(1).select("k_min", "gamma", "ks")
-    row = s.crossJoin(h).crossJoin(r).join(best, F.lit(True), "left")
+    deg = materialize(graph.degrees(e))
+    best = parameters.continuous_scan(deg).orderBy("ks", "k_min").first()
+    fit = {"k_min": None, "gamma": None, "ks": None, "ratio": None}
+    if best is not None:
+        fit = {k: best[k] for k in ("k_min", "gamma", "ks")} | {"ratio": parameters.exponential_ratio(deg, best["k_min"], best["gamma"]).first()["ratio"]}
+    row = s.crossJoin(h).crossJoin(r).select("*", *[F.lit(v).cast("double").alias(k) for k, v in fit.items()])
+    no = F.lit(False)
+    # Bounds of the four signals: fixed values.
     signals = {
-        "low_delta": F.col("mean_delta") / F.greatest(F.col("diameter"), F.lit(1.0)) < 0.1,
-        "negative_curvature": F.col("ricci_mean") < 0,
-        "heavy_tail": F.coalesce((F.col("gamma") > 2) & (F.col("gamma") < 3.5), F.lit(False)),
-        "clustered": F.col("average_clustering") > 0.1,
+        "sparse_and_clustered": (F.col("mean_degree") < 0.1 * F.col("nodes")) & (F.col("average_clustering") > 5 * F.col("mean_degree") / F.col("nodes")),
+        "heterogeneous_degree": F.coalesce((F.col("gamma") > 1.5) & (F.col("gamma") < 3.5) & (F.col("ratio") > -0.05), no),
+        "tree_like_metric": F.when(F.col("diameter") > 0, F.col("mean_delta") / F.col("diameter") < 0.2).otherwise(no),
+        "negative_curvature": F.coalesce(F.col("ricci_mean") < 0, no),
     }
     score = sum((c.cast("int") for c in signals.values()), F.lit(0))
     verdict = F.when(score >= 3, "hyperbolic").when(score <= 1, "euclidean").otherwise("ambiguous")

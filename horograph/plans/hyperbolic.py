@@ -553,7 +553,7 @@ def powerlaw_gamma_mle(spark, d):
     _RG
     + """, h AS (SELECT CAST(degree AS DOUBLE) AS k, count(*) AS n FROM deg GROUP BY 1), q AS (SELECT quantile_cont(degree, 0.9) AS p90 FROM deg),
  t AS (SELECT c.k AS k_min, h.k, h.n FROM h c JOIN h ON h.k >= c.k JOIN q ON c.k <= p90),
- f AS (SELECT k_min, sum(n) AS nt, 1 + sum(n) / sum(n * ln(k / k_min)) AS gamma FROM t GROUP BY 1 HAVING sum(n) >= 20 AND sum(n * ln(k / k_min)) > 0),
+ f AS (SELECT k_min, sum(n) AS nt, 1 + sum(n) / sum(n * ln(k / (k_min - 0.5))) AS gamma FROM t GROUP BY 1 HAVING sum(n) >= 20),
  g AS (SELECT k_min, nt, gamma, n, sum(n) OVER (PARTITION BY k_min ORDER BY k DESC) AS up, pow(k / k_min, -(gamma - 1)) AS model FROM t JOIN f USING (k_min))
  SELECT k_min, CAST(nt AS BIGINT) AS n_tail, round(gamma, 6) AS gamma, round(max(greatest(abs(model - up / nt), abs(model - (up - n + 1) / nt))), 6) AS ks FROM g GROUP BY k_min, nt, gamma""",
 )
@@ -563,7 +563,7 @@ def powerlaw_kmin_scan_continuous(spark, d):
 
 @catalog.add(
     "loglik_vs_exponential",
-    _RG + ", t AS (SELECT count(*) AS n, sum(ln(degree / 5.0)) AS s, avg(degree - 5.0) AS m FROM deg WHERE degree >= 5) SELECT CAST(n AS BIGINT) AS n, round(ln(1.5 / 5.0) - 2.5 * s / n + ln(m) + 1, 6) AS ratio FROM t",
+    _RG + ", t AS (SELECT count(*) AS n, sum(ln(degree / 4.5)) AS s, avg(degree - 5.0) AS m FROM deg WHERE degree >= 5) SELECT CAST(n AS BIGINT) AS n, round(ln(1.5 / 4.5) - 2.5 * s / n + ln(m) + 1, 6) AS ratio FROM t",
 )
 def loglik_vs_exponential(spark, d):
     return parameters.exponential_ratio(graph.degrees(rg(spark, d)), 5.0, 2.5).withColumn("ratio", F.round("ratio", 6))
