@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horograph.runtime import checked_broadcast, materialize
+from horograph.runtime import is_small, materialize, skew_join
 
 BLOCK_ITEMS = 1024
 RECORD_BLOCK = 4096
@@ -134,8 +134,9 @@ def cooccurring(edges: DataFrame, least: int = 8, lift: float = 3.0, block_items
     pairs = materialize(adjacency(edges))
     ends = F.explode(F.array(F.struct(F.col("lo").alias("record"), F.col("hi").alias("item")), F.struct(F.col("hi").alias("record"), F.col("lo").alias("item"))))
     nodes = pairs.select("net_id", F.explode(F.array("lo", "hi")).alias("n")).distinct().groupBy("net_id").agg(F.count(F.lit(1)).alias("nodes"))
-    sizes = checked_broadcast(materialize(nodes))
-    rows = pairs.select("net_id", ends.alias("e")).select("net_id", "e.record", "e.item").join(sizes, "net_id")
+    sizes = materialize(nodes)
+    rows = pairs.select("net_id", ends.alias("e")).select("net_id", "e.record", "e.item")
+    rows = rows.join(F.broadcast(sizes), "net_id") if is_small(sizes) else skew_join(rows, sizes, ["net_id"])
     blocks = F.ceil(F.col("nodes") / block_items).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

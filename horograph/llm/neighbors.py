@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from horograph.llm.additive_quant import Quantizer, cosh_to, encode, lift, search_cell, to_frame
-from horograph.runtime import hot_keys, materialize, skew_join
+from horograph.runtime import HOT_SHARE, hot_keys, is_small, materialize, skew_join
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -120,7 +120,13 @@ def nearest(
     best = materialize(found.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k).select("id", "near", "c"))
 
     # copies: the k + 1 smallest ids of every group that has any
-    members = rows.join(distinct.where(F.col("copies") > 1).select(F.col("id").alias("rep"), "x"), "x").select("rep", "id")
+    groups = distinct.where(F.col("copies") > 1)
+    reps = groups.select(F.col("id").alias("rep"), "x")
+    if is_small(reps):
+        members = rows.join(F.broadcast(reps), "x").select("rep", "id")
+    else:
+        total = rows.count()
+        members = skew_join(rows, reps, ["x"], "inner", hot=groups.where(F.col("copies") * HOT_SHARE > total)).select("rep", "id")
     first = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("rep").alias("near"), F.col("id").alias("member"))
     first = materialize(first)
     own = first.select(F.col("near").alias("id"), "near", F.lit(0.0).alias("c"), "member")

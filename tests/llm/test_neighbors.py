@@ -74,3 +74,13 @@ def test_codes_come_near(spark):
     error = ((u - sum(q.books[m][codes[:, m]] for m in range(8))) ** 2).sum(axis=1).mean()
     greedy = encode(u, q.books, 1)
     assert error < 0.05 and error <= ((u - sum(q.books[m][greedy[:, m]] for m in range(8))) ** 2).sum(axis=1).mean() + 1e-9
+
+
+def test_copies_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "is_small", lambda df: False)
+    x = points(30, 6).tolist()
+    test = frame(spark, range(130), [*x, *[x[0]] * 90, *[x[1]] * 10])
+    got = {}
+    for r in neighbors.nearest(test).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbor"])
+    assert got == brute(range(130), [*x, *[x[0]] * 90, *[x[1]] * 10], 10)
