@@ -76,3 +76,14 @@ def uniform_hyperbolic_disk(spark: SparkSession, n: int, radius: float, alpha: f
     p = spark.range(n).withColumnRenamed("id", "node_id")
     u = uniform(F.col("node_id"), F.lit(seed), F.lit(0))
     return p.select("node_id", (F.acosh(1 + u * (math.cosh(alpha * radius) - 1)) / alpha).alias("r"), (2 * math.pi * uniform(F.col("node_id"), F.lit(seed), F.lit(1))).alias("theta"))
+
+
+def dot_product_sample(positions: DataFrame, graphs: int = 1, seed: int = 0) -> DataFrame:
+    """(graph_id, i, j) of random dot-product graphs: positions (node_id, x, signs), a pair linked with its signed product held to [0, 1]."""
+    from horograph.operators.pairs import expand_pairs, gather
+
+    g = gather(expand_pairs(positions), positions, ["x", "signs"])
+    terms = F.zip_with(F.zip_with("x_i", "x_j", lambda a, b: a * b), "signs_i", lambda a, s: a * s)
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, v: s + v)))
+    each = g.select("i", "j", p.alias("p")).withColumn("graph_id", F.explode(F.sequence(F.lit(0), F.lit(graphs - 1))))
+    return each.where(uniform(F.col("i"), F.col("j"), F.col("graph_id"), F.lit(seed)) < F.col("p")).select("graph_id", "i", "j")

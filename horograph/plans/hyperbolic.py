@@ -588,7 +588,13 @@ def hyperbolic_rgg(spark, d):
     return threshold_graph(pairs.polar_distances(e).withColumn("d", F.round("d", 9)), 4 * e.count()).select("i", "j")
 
 
-@catalog.add("hop_distances", None)
+@catalog.add(
+    "hop_distances",
+    _RG.replace("WITH rg", "WITH RECURSIVE rg")
+    + """, b AS (SELECT src, dst FROM rg UNION ALL SELECT dst, src FROM rg), h AS (SELECT node_id FROM deg ORDER BY degree DESC, node_id LIMIT 3),
+ r(source, node_id, hops) AS (SELECT node_id, node_id, 0 FROM h UNION SELECT r.source, b.dst, r.hops + 1 FROM r JOIN b ON b.src = r.node_id WHERE r.hops < 30)
+ SELECT source, node_id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY 1, 2""",
+)
 def hop_distances(spark, d):
     e = materialize(rg(spark, d))
     hubs = graph.degrees(e).orderBy(F.desc("degree"), "node_id").limit(3)

@@ -177,3 +177,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert state.batches >= 3
     assert {tuple(r) for r in state.edges(spark).collect()} == want == {tuple(r) for r in deltas.current_edges(deltas.last_changes(df)).collect()}
     assert deltas.RefitPolicy().decide(5, 0, 1000) == "wait" and deltas.RefitPolicy().decide(500, 0, 1000) == "cold" and deltas.RefitPolicy().decide(5, 9999, 1000) == "warm"
+
+
+def test_dot_product_graphs(spark):
+    p = spark.createDataFrame([(k, [1.0, 0.0] if k < 20 else [0.0, 0.5], [1.0, 1.0]) for k in range(60)], "node_id bigint, x array<double>, signs array<double>")
+    got = {(r["i"], r["j"]) for r in generation.dot_product_sample(p, 1, 3).collect()}
+    assert {x for x in got if x[1] < 20} == {(a, b) for b in range(20) for a in range(b)}
+    assert not any(a < 20 <= b for a, b in got)
+    assert 0.15 < len([x for x in got if x[0] >= 20]) / (40 * 39 / 2) < 0.35
