@@ -22,8 +22,14 @@ def _tree(spark) -> DataFrame:
     return graph.balanced_tree(spark, 2, 4)
 
 
-def _out(e: embedders.Embedding) -> DataFrame:
-    return e.coordinates.select("node_id", "r", "v", F.lit(e.history[0] if e.history else None).cast("double").alias("first_loss"), F.lit(e.history[-1] if e.history else None).cast("double").alias("last_loss"))
+def _networks(spark, d) -> DataFrame:
+    """(net_id, src, dst, weight): the distinct edges of every network; the largest weight, 1 where none is known."""
+    t = table(spark, d, "network_edges").where("net_id IS NOT NULL AND src <> dst")
+    return t.groupBy("net_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.coalesce(F.max("weight"), F.lit(1.0)).alias("weight"))
+
+
+def _fitted(spark, d, embedder: embedders.Embedder) -> DataFrame:
+    return embedders.fit_networks(materialize(_networks(spark, d)), embedder)
 
 
 _LAST = """
@@ -91,6 +97,14 @@ def transitive_closure(spark, d):
     return graph.transitive_closure(_tree(spark), "dst", "src")
 
 
+@catalog.add("transitive_closure_networks")
+def transitive_closure_networks(spark, d):
+    """(net_id, child, ancestor): the closure of every network, its edges pointing to the larger id."""
+    node = lambda c: F.struct("net_id", F.col(c).alias("node_id")).alias(c)
+    c = graph.transitive_closure(_networks(spark, d).select(node("src"), node("dst")))
+    return c.select("child.net_id", F.col("child.node_id").alias("child"), F.col("ancestor.node_id").alias("ancestor"))
+
+
 @catalog.add("fermi_dirac_sample")
 def fermi_dirac_sample(spark, d):
     return generation.fermi_dirac_sample(pairs.polar_distances(emb(spark, d)), 2.0, 0.5, 2)
@@ -110,45 +124,49 @@ def uniform_hyperbolic_disk(spark, d):
 
 @catalog.add("poincare_maps")
 def poincare_maps(spark, d):
-    return _out(embedders.PoincareMaps(n_steps=150, lr=0.05).fit(_tree(spark)))
+    return _fitted(spark, d, embedders.PoincareMaps(lr=0.05))
 
 
 @catalog.add("poincare_embeddings")
 def poincare_embeddings(spark, d):
-    return _out(embedders.PoincareEmbeddings(n_steps=100, lr=0.05, n_negatives=10).fit(_tree(spark)))
+    return _fitted(spark, d, embedders.PoincareEmbeddings(lr=0.05))
 
 
 @catalog.add("poincare_embeddings_fermi_dirac")
 def poincare_embeddings_fermi_dirac(spark, d):
-    return _out(embedders.PoincareEmbeddings(loss="fermi_dirac", n_steps=150, lr=0.05).fit(_tree(spark)))
+    return _fitted(spark, d, embedders.PoincareEmbeddings(loss="fermi_dirac", lr=0.05))
 
 
 @catalog.add("lorentz_embeddings")
 def lorentz_embeddings(spark, d):
-    return _out(embedders.LorentzEmbeddings(n_steps=100, lr=0.1, n_negatives=10).fit(_tree(spark)))
+    return _fitted(spark, d, embedders.LorentzEmbeddings(lr=0.1))
 
 
 @catalog.add("hydra_plus")
 def hydra_plus(spark, d):
-    return _out(embedders.HydraPlus(n_steps=150).fit(_tree(spark)))
+    return _fitted(spark, d, embedders.HydraPlus())
 
 
 @catalog.add("hypermap")
 def hypermap(spark, d):
-    return _out(embedders.HyperMap(gamma=2.5, n_steps=20).fit(_tree(spark)))
+    return _fitted(spark, d, embedders.HyperMap(gamma=2.5))
 
 
 @catalog.add("dmercator")
 def dmercator(spark, d):
-    return _out(embedders.DMercator(n_steps=30).fit(_tree(spark)))
+    return _fitted(spark, d, embedders.DMercator())
 
 
 @catalog.add("unknown_edge_joint_fit")
 def unknown_edge_joint_fit(spark, d):
-    t = materialize(_tree(spark))
-    unknown = links.split_edges(t, 0.9, 3).where(F.col("part") == "R").select("src", "dst")
-    extra = spark.createDataFrame([(7, 8), (3, 20)], "src bigint, dst bigint")
-    return embedders.PoincareEmbeddings(loss="fermi_dirac", n_steps=60, lr=0.05, lr_a=0.05).fit(t, unknown.unionByName(extra)).unknown
+    """In every network a tenth of the edges and one in a thousand of the other pairs are unknown."""
+    e = materialize(_networks(spark, d).withColumn("weight", F.lit(1.0)))
+    held = links.split_edges(e, 0.9, 3).where(F.col("part") == "R").select("net_id", "src", "dst")
+    nodes = materialize(e.select("net_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct())
+    a, b = nodes.withColumnRenamed("node_id", "src"), nodes.withColumnRenamed("node_id", "dst")
+    drawn = a.join(b, "net_id").where((F.col("src") < F.col("dst")) & (links.pair_hash(F.col("src"), F.col("dst"), 4) < 1))
+    extra = drawn.join(e.select("net_id", "src", "dst"), ["net_id", "src", "dst"], "left_anti")
+    return embedders.fit_unknown_networks(e, held.unionByName(extra), embedders.PoincareEmbeddings(loss="fermi_dirac", lr=0.05, lr_a=0.05))
 
 
 @catalog.add(
