@@ -6,10 +6,17 @@ per pair.  Null ends and self-loops are dropped by ``canonical_edges``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from horograph.runtime import materialize
+from horograph.runtime import is_small, materialize
+
+#: Up to so many edges a search from all nodes sends the whole graph to every task (16 bytes an edge and direction).
+HOP_EDGES = 4_000_000
 
 
 def canonical_edges(df: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None) -> DataFrame:
@@ -121,19 +128,56 @@ def relabel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hop_distances(edges: DataFrame, sources: DataFrame, limit: int = 1000) -> DataFrame:
-    """(source, node_id, hops) by breadth-first search from every source at once; unreachable pairs are absent."""
+    """(source, node_id, hops) by breadth-first search from every source at once; unreachable pairs are absent. Raises if a node is more than ``limit`` hops away."""
     both = materialize(directed(edges).select("src", "dst"))
     start = sources.select(F.col("node_id").cast("bigint").alias("source")).where(F.col("source").isNotNull()).distinct()
     seen = frontier = materialize(start.select("source", F.col("source").alias("node_id"), F.lit(0).alias("hops")))
-    for hop in range(1, limit + 1):
+    for hop in range(1, limit + 2):
         step = frontier.join(both, F.col("node_id") == F.col("src")).select("source", F.col("dst").alias("node_id")).distinct()
         frontier = materialize(step.join(seen.select("source", "node_id"), ["source", "node_id"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.limit(1).count() == 0:
-            break
+            return seen
         seen = seen.unionByName(frontier)
         if hop % 8 == 0:
             seen = materialize(seen)
-    return seen
+    raise RuntimeError(f"some nodes are more than {limit} hops away")
+
+
+def all_hop_distances(edges: DataFrame) -> DataFrame:
+    """(source, node_id, hops) from every node of the graph, whatever the number of hops: an output of quadratic size.
+
+    Sources are spread over the tasks, and each task searches the whole graph,
+    so no pair is shuffled; graphs beyond ``HOP_EDGES`` are searched by joins.
+    """
+    e = materialize(edges.select("src", "dst"))
+    if not is_small(e, HOP_EDGES):
+        return hop_distances(edges, degrees(edges))
+    spark, rows = edges.sparkSession, e.toPandas().to_numpy(np.int64)
+    ids, at = np.unique(rows.ravel(), return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    tail, head = np.r_[a, b], np.r_[b, a]
+    near = head[np.argsort(tail, kind="stable")].astype(np.int32)
+    begin = np.r_[0, np.cumsum(np.bincount(tail, minlength=len(ids)))]
+    shared = spark.sparkContext.broadcast((ids, near, begin))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, near, begin = shared.value
+        n = len(ids)
+        for batch in batches:
+            for s in batch["id"]:
+                hops, front, hop = np.full(n, -1, np.int32), np.array([s]), 0
+                hops[s] = 0
+                while len(front):
+                    hop += 1
+                    size = begin[front + 1] - begin[front]
+                    step = near[np.repeat(begin[front] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                    step = step[hops[step] < 0]
+                    hops[step] = hop
+                    front = np.flatnonzero(hops == hop) if 8 * len(step) > n else np.unique(step)
+                found = np.flatnonzero(hops >= 0)
+                yield pd.DataFrame({"source": ids[s], "node_id": ids[found], "hops": hops[found]})
+
+    return spark.range(0, len(ids), 1, max(1, -(-len(ids) // 64))).mapInPandas(run, "source bigint, node_id bigint, hops int")
 
 
 def weighted_distances(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFrame:

@@ -601,6 +601,12 @@ def hop_distances(spark, d):
     return graph.hop_distances(e, hubs)
 
 
+@catalog.add("hop_distances_all")
+def hop_distances_all(spark, d):
+    """The shortest paths between all pairs; ``hop_distances`` has those of the three hubs, as its SQL does."""
+    return graph.all_hop_distances(rg(spark, d))
+
+
 @catalog.add("connected_components")
 def connected_components(spark, d):
     return graph.connected_components(rg(spark, d))
