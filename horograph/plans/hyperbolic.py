@@ -576,7 +576,7 @@ def powerlaw_kmin_scan_zeta(spark, d):
 
 @catalog.add("powerlaw_gof")
 def powerlaw_gof(spark, d):
-    return parameters.goodness_of_fit(materialize(graph.degrees(rg(spark, d))), bootstraps=200)
+    return parameters.goodness_of_fit(materialize(graph.degrees(rg(spark, d))))
 
 
 @catalog.add("hyperbolic_rgg", _PAIRS + ", k AS (SELECT (SELECT count(*) FROM emb) * 4 AS m), n AS (SELECT i, j, row_number() OVER (ORDER BY round(d, 9), i, j) AS rn FROM p) SELECT i, j FROM n, k WHERE rn <= m")
