@@ -36,14 +36,17 @@ def prepare_splits(edges: DataFrame, seeds: list[int], q: float = 0.9, giant: bo
 def evaluate(splits: dict[int, DataFrame], method: str, score: Callable[[DataFrame, DataFrame], DataFrame], higher_is_link: bool = False) -> DataFrame:
     """(method, seed, f1, auc, hits, first_lift, captured).
 
-    ``score(train, candidates)`` returns the candidates (src, dst) with ``score``.
+    ``score(train, candidates)`` returns the candidates (src, dst) with ``score``;
+    those it leaves out, such as nodes without a training edge, count as the worst.
     """
-    out = None
+    out, worst = None, F.lit(float("-inf") if higher_is_link else float("inf"))
     for seed, split in splits.items():
         train = materialize(graph.unweighted(links.training_graph(split)))
         nodes = split.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
         c = links.candidates(split, nodes)
-        scored = c.join(score(train, c), ["src", "dst"]).select(F.xxhash64("src", "dst").alias("cand_id"), "score", "is_positive")
+        known = score(train, c).select("src", "dst", "score", F.lit(True).alias("known"))
+        value = F.when(F.col("known"), F.col("score")).otherwise(worst)
+        scored = c.join(known, ["src", "dst"], "left").select(F.xxhash64("src", "dst").alias("cand_id"), value.alias("score"), "is_positive")
         row = metrics(scored, higher_is_link).select(F.lit(method).alias("method"), F.lit(seed).alias("seed"), "*")
         out = row if out is None else out.unionByName(row)
     return out
