@@ -1,7 +1,7 @@
 import numpy as np
 
 from horograph.llm import neighbors
-from horograph.llm.additive_quant import encode, lift, to_frame, Quantizer
+from horograph.llm.additive_quant import encode, fit_books, lift, to_frame
 
 SCHEMA = "vec_id bigint, x array<double>, id string, cell int"
 
@@ -12,10 +12,15 @@ def frame(spark, ids, xs):
 
 def brute(ids, xs, k):
     good = [(i, np.array(x, float)) for i, x in zip(ids, xs) if x is not None and len(x) == 16 and None not in list(x) and np.isfinite(np.array(x, float)).all() and (np.array(x, float) ** 2).sum() < 1]
+    if not good:
+        return {}
+    who, x = np.array([i for i, _ in good]), np.array([x for _, x in good])
+    gap = 1 - (x * x).sum(axis=1)
     out = {}
-    for i, x in good:
-        d = sorted((((x - y) ** 2).sum() / ((1 - (x * x).sum()) * (1 - (y * y).sum())), j) for j, y in good if j != i)
-        out[i] = [j for _, j in d[:k]]
+    for n, i in enumerate(who):
+        d = ((x - x[n]) ** 2).sum(axis=1) / (gap * gap[n])
+        d[n] = np.inf
+        out[int(i)] = who[np.lexsort((who, d))[: min(k, len(who) - 1)]].tolist()
     return out
 
 
@@ -29,7 +34,7 @@ def points(n, seed=0):
 def test_recall_against_brute_force(spark):
     x = points(1500)
     ids = np.random.default_rng(3).permutation(5000)[:1500]
-    near = neighbors.nearest(frame(spark, ids, x), cell_rows=64, rerank=100)
+    near = neighbors.nearest(frame(spark, ids, x), cell_rows=16)
     got = {}
     for r in near.collect():
         got.setdefault(r["id"], []).append(r["neighbor"])
@@ -40,12 +45,37 @@ def test_recall_against_brute_force(spark):
     assert own["recall"] >= 0.9 and own["asked"] == sum(i % 20 == 0 for i in ids)
 
 
-def test_split_cells_and_parts_agree(spark):
+def test_regions_and_parts_agree(spark):
     x = points(300, 5)
-    a = neighbors.nearest(frame(spark, range(300), x), cell_rows=1000)
-    b = neighbors.nearest(frame(spark, range(300), x), cell_rows=1000, part_rows=20)
     key = lambda df: sorted((r["id"], r["rank"], r["neighbor"]) for r in df.collect())
-    assert key(a) == key(b)
+    one_cell = key(neighbors.nearest(frame(spark, range(300), x), cell_rows=1000, rerank=300))
+    assert one_cell == key(neighbors.nearest(frame(spark, range(300), x), cell_rows=1000, rerank=300, region_rows=60))
+    cells = neighbors.build(frame(spark, range(300), x), cell_rows=20)
+    assert cells.profile()["cells"] > 4
+    assert key(cells.nearest(rerank=300)) == key(cells.nearest(rerank=300, region_rows=60))
+
+
+def test_cells_beyond_the_sample_are_split(spark):
+    x = points(3000, 8)
+    index = neighbors.build(frame(spark, range(3000), x), cell_rows=16, sample_rows=200)
+    p = index.profile()
+    assert p["vectors"] == 3000 and p["largest"] <= 64 and p["cells"] > 3000 / 64 and p["share"] < 0.5
+    near = index.nearest()
+    assert neighbors.recall(near, frame(spark, range(3000), x), "vec_id", "x", 16, 10).first()["recall"] >= 0.95
+    assert (index.points.sum(), index.asks.sum()) == (3000, 3000 * p["probes"])
+
+
+def test_recall_in_blocks_is_one_recall(spark):
+    x = points(400, 9)
+    near = neighbors.nearest(frame(spark, range(400), x), cell_rows=1000, rerank=20).cache()
+    whole = neighbors.recall(near, frame(spark, range(400), x), "vec_id", "x", 16, 10).first()
+    parts = neighbors.recall(near, frame(spark, range(400), x), "vec_id", "x", 16, 10, block=5).first()
+    want = brute(range(0, 400), x, 10)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["id"], set()).add(r["neighbor"])
+    share = np.mean([len(got[i] & set(want[i])) / 10 for i in range(0, 400, 20)])
+    assert tuple(whole) == tuple(parts) and whole["asked"] == 20 and abs(whole["recall"] - share) < 1e-12
 
 
 def test_copies_ties_and_unusable_vectors(spark):
@@ -66,14 +96,13 @@ def test_few_and_none(spark):
 
 def test_codes_come_near(spark):
     h = lift(points(3000, 4))
-    q = Quantizer.fit(h, 1)
-    z = to_frame(h, q.centres[0])
+    centre = h[:1] * 0 + np.r_[1.0, np.zeros(16)]
+    books = fit_books(h, centre, 8, 256, 1)
+    z = to_frame(h, centre[0])
     assert np.allclose(z[:, 0] ** 2 - (z[:, 1:] ** 2).sum(axis=1), 1, atol=1e-6 * z[:, 0].max() ** 2)
     u = z[:, 1:] / np.linalg.norm(z[:, 1:], axis=1, keepdims=True)
-    codes = encode(u, q.books, 4)
-    error = ((u - sum(q.books[m][codes[:, m]] for m in range(8))) ** 2).sum(axis=1).mean()
-    greedy = encode(u, q.books, 1)
-    assert error < 0.05 and error <= ((u - sum(q.books[m][greedy[:, m]] for m in range(8))) ** 2).sum(axis=1).mean() + 1e-9
+    error = lambda beam: ((u - sum(books[m][encode(u, books, beam)[:, m]] for m in range(8))) ** 2).sum(axis=1).mean()
+    assert error(4) < 0.05 and error(4) <= error(1) * 1.001
 
 
 def test_copies_beyond_the_broadcast_bound(spark, monkeypatch):
