@@ -7,7 +7,12 @@ the number of documents and of tokens of each source come out as expected: in
 each step three documents move along the null-space of the two constraints
 until one of them is decided.  The steps run for many triples at once inside a
 partition, which leaves at most two undecided documents per source; those of
-all partitions run once more together, and the last two of a source are landed.
+all partitions run again in groups of at most ``GROUP`` documents until one
+group per source is left, whose last two documents are landed.
+
+``shortfalls`` reads the sources that cannot reach their share off the drawn
+corpus: every document of such a source was taken as often as its cap allows,
+and the tokens so taken are still too few.
 
 The size of the corpus is the number of tokens of all documents that have a
 text and a source, unless given.
@@ -22,6 +27,7 @@ rows are drawn each; empty tables give empty results.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,36 +43,35 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Longer texts are encoded in pieces that end where white space begins, which is where the pattern cuts too.
 PIECE = 100_000
+_CUT = re.compile(r"(?<=\S)[ \n]")
+#: Undecided documents of a source that one task takes.
+GROUP = 8192
 
 
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(encode, text: str) -> int:
-    if len(text) <= PIECE:
-        return len(encode(text))
+    """Tokens of the whole text; a text without a place to cut is encoded in one piece."""
     total, start = 0, 0
-    while start < len(text):
-        end = min(len(text), start + PIECE)
-        while end < len(text) and not (text[end].isspace() and not text[end - 1].isspace()):
-            end += 1
-            if end - start > 4 * PIECE:
-                break
-        total += len(encode(text[start:end]))
-        start = end
-    return total
-
-
-def _counter(path: str):
+    while len(text) - start > PIECE:
+        cut = _CUT.search(text, start + PIECE)
+        if cut is None:
+            break
+        total += len(encode(text[start : cut.start()]))
+        start = cut.start()
+    return total + len(encode(text[start:]))
+
+
+def _counter(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
         for b in batches:
-            encode = encode or _encoding(path).encode_ordinary
+            encode = encode or _encoding(shared.value).encode_ordinary
             n = [count_tokens(encode, t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "tokens"])
 
@@ -75,8 +80,11 @@ def _counter(path: str):
 
 def token_sizes(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens) of the documents with text and source; the source in the form it is compared in."""
+    # the vocabulary goes with the job, so only the driver needs the file
+    with open(tokenizer, "rb") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.where(F.col("text").isNotNull() & F.col("source").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.trim("source")).alias("source"), "text")
-    return rows.mapInArrow(_counter(tokenizer), "doc_id bigint, source string, tokens bigint")
+    return rows.mapInArrow(_counter(shared), "doc_id bigint, source string, tokens bigint")
 
 
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -150,18 +158,40 @@ def _flyer(plan: dict[str, tuple[int, float]], seed: int):
     return run
 
 
-def _lander(seed: int):
+def _lander(seed: int, last: bool):
+    """One more flight over a group of undecided documents of a source; the last group is landed too."""
+
     def run(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("tokens", "ascending"), ("p", "ascending")])
-        rng = np.random.default_rng([seed, *key[0].as_py().encode()])
+        rng = np.random.default_rng([seed, key[1].as_py(), *key[0].as_py().encode()])
         p = flight(t.column("p").to_numpy(), t.column("tokens").to_numpy(), rng)
         rest = np.flatnonzero((p > 0) & (p < 1))
-        p[rest] = land(p[rest], rng)
+        if last:
+            p[rest] = land(p[rest], rng)
         return pa.table({"doc_id": t.column("doc_id"), "source": t.column("source"), "tokens": t.column("tokens"), "p": pa.array(p, pa.float64())})
 
     return run
 
 
+def settle(flown: DataFrame, seed: int, group: int = GROUP) -> DataFrame:
+    """Decides the documents that the flights in the partitions left open."""
+    schema = "doc_id bigint, source string, tokens bigint, p double"
+    rest = (F.col("p") > 0) & (F.col("p") < 1)
+    done, open_ = flown.where(~rest), flown.where(rest)
+    turn = 0
+    while True:
+        turn += 1
+        # two documents of a group stay open, so the groups shrink to one
+        most = open_.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+        groups = max(1, -(-most // group))
+        of = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(groups)).cast("int")
+        landed = open_.withColumn("g", of).groupBy("source", "g").applyInArrow(_lander(seed + turn, groups == 1), schema)
+        if groups == 1:
+            return done.unionByName(landed)
+        landed = materialize(landed)
+        done, open_ = done.unionByName(landed.where(~rest)), landed.where(rest)
+
+
 def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, size: int | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(taken, report).
 
@@ -187,18 +217,36 @@ def mix(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, size: i
     drawn = sized.where(F.col("source").isin(keys)).withColumn("p", part[F.col("source")])
     schema = "doc_id bigint, source string, tokens bigint, p double"
     flown = materialize(drawn.mapInArrow(_flyer(plan, seed), schema))
-    rest = (F.col("p") > 0) & (F.col("p") < 1)
-    # at most two documents per source and partition
-    landed = flown.where(rest).groupBy("source").applyInArrow(_lander(seed), schema)
     copies = whole[F.col("source")] + F.col("p").cast("int")
-    taken = materialize(flown.where(~rest).unionByName(landed).select("doc_id", "source", "tokens", copies.alias("copies")).where(F.col("copies") > 0))
-    got = {r["source"]: (int(r["tokens"]), int(r["docs"])) for r in taken.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.sum("copies").alias("docs")).collect()}
-    corpus = sum(t for t, _ in got.values())
+    taken = materialize(settle(flown, seed).select("doc_id", "source", "tokens", copies.alias("copies")).where(F.col("copies") > 0))
+    drawn = shortfalls(taken, want, held, total)
+    schema = "source string, target_share double, max_repeats bigint, tokens bigint, documents bigint, taken_tokens bigint, taken_documents bigint, share double, most_copies bigint, largest_document bigint, falls_short boolean, within_cap boolean, on_target boolean"
+    return taken, spark.createDataFrame(drawn, schema)
+
+
+def shortfalls(taken: DataFrame, want: list, held: dict[str, tuple[int, int]], total: int) -> list[tuple]:
+    """Per source of the targets what the drawn rows hold and what follows from them alone.
+
+    ``falls_short``: every document stands in the corpus as often as the cap
+    allows and the tokens are still fewer than the share of ``total``.
+    ``within_cap``: no document stands in it more often.  ``on_target``: the
+    tokens miss the share by no more than two documents, which is what landing
+    may cost, unless the source falls short.
+    """
+    tokens = F.col("tokens") * F.col("copies")
+    caps = {w["source"]: max(0, w["cap"] or 0) for w in want}
+    cap = F.create_map(*[F.lit(x) for s, c in caps.items() for x in (s, c)])[F.col("source")] if caps else F.lit(0)
+    per = taken.groupBy("source").agg(
+        F.sum(tokens).alias("tokens"), F.sum("copies").alias("docs"), F.max("copies").alias("most"), F.max("tokens").alias("largest"), F.sum((F.col("copies") == cap).cast("bigint")).alias("at_cap")
+    )
+    got = {r["source"]: r for r in per.collect()}
+    corpus = sum(r["tokens"] for r in got.values())
     rows = []
     for w in want:
         has, n = held.get(w["source"], (0, 0))
-        t, d = got.get(w["source"], (0, 0))
-        short = has * max(0, w["cap"] or 0) < (w["share"] or 0.0) * total
-        rows.append((w["name"], w["share"], w["cap"], has, n, t, d, t / corpus if corpus else 0.0, bool(short)))
-    report = spark.createDataFrame(rows, "source string, target_share double, max_repeats bigint, tokens bigint, documents bigint, taken_tokens bigint, taken_documents bigint, share double, falls_short boolean")
-    return taken, report
+        r = got.get(w["source"])
+        t, d, most, largest, at_cap = (r["tokens"], r["docs"], r["most"], r["largest"], r["at_cap"]) if r else (0, 0, 0, 0, 0)
+        wanted = (w["share"] or 0.0) * total
+        short = t < wanted and (at_cap == n or caps[w["source"]] == 0)
+        rows.append((w["name"], w["share"], w["cap"], has, n, t, d, t / corpus if corpus else 0.0, most, largest, bool(short), most <= caps[w["source"]], bool(short or abs(t - wanted) <= 2 * largest + 1)))
+    return rows

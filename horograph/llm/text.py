@@ -11,7 +11,8 @@ import html
 import re
 import unicodedata
 
-_TAG = re.compile(r"<[^<>\n]{1,200}>")
+#: A tag begins with its name, so comparisons with < and > are none.
+_TAG = re.compile(r"<[/!?]?[A-Za-z][^<>]*>")
 _HYPHEN_BREAK = re.compile("[-­‐‑][ \t]*[\r\n]+\\s*")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")

@@ -40,10 +40,34 @@ def test_shares_and_caps(spark):
 
 
 def test_long_texts_count_as_a_whole():
-    encode = mixing._encoding(mixing.TOKENIZER).encode_ordinary
+    with open(mixing.TOKENIZER, "rb") as f:
+        encode = mixing._encoding(f.read()).encode_ordinary
     text = "a few words, 12 numbers\n\n and  spaces; " * 9000
     assert mixing.count_tokens(encode, text) == len(encode(text))
     assert mixing.count_tokens(encode, "") == 0
+    # nowhere to cut, then a place to cut
+    for text in ("ab" * 230_000, "x  y" * 120_000, "\u00e4 " * 60_000 + "-" * 150_000 + " end"):
+        assert mixing.count_tokens(encode, text) == len(encode(text))
+
+
+def test_many_open_documents_settle_in_groups(spark):
+    rows = [(k, "a" if k % 2 else "b", 1 + k % 7, 0.25 + 0.5 * (k % 2)) for k in range(400)]
+    out = mixing.settle(spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint, p double"), 3, group=16).toPandas()
+    assert len(out) == 400 and set(out["p"]) <= {0.0, 1.0}
+    for s, share in (("a", 0.75), ("b", 0.25)):
+        own = out[out["source"] == s]
+        wanted = sum(t for _, x, t, _ in rows if x == s) * share
+        assert abs(own["p"].sum() - 200 * share) < 1.01 and abs((own["tokens"] * own["p"]).sum() - wanted) <= 14
+
+
+def test_shortfalls_come_from_the_drawn_rows(spark):
+    taken = spark.createDataFrame([(1, "a", 10, 2), (2, "a", 20, 2), (3, "b", 10, 1), (4, "b", 30, 2)], "doc_id bigint, source string, tokens bigint, copies bigint")
+    want = [{"name": n, "source": n, "share": s, "cap": c} for n, s, c in (("a", 0.7, 2), ("b", 0.8, 2), ("c", 0.1, 1), ("d", 0.0, 1))]
+    rows = {r[0]: r for r in mixing.shortfalls(taken, want, {"a": (30, 2), "b": (40, 2)}, 100)}
+    assert {n: r[-3] for n, r in rows.items()} == {"a": True, "b": False, "c": True, "d": False}
+    assert all(r[-2] for r in rows.values()) and {n: r[-1] for n, r in rows.items()} == {"a": True, "b": True, "c": True, "d": True}
+    over = mixing.shortfalls(taken, [{"name": "a", "source": "a", "share": 0.1, "cap": 1}], {"a": (30, 2)}, 100)[0]
+    assert over[-3:] == (False, False, False)
 
 
 def test_empty(spark):

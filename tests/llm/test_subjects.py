@@ -56,7 +56,8 @@ def test_claims_in_their_styles():
         groups, claims = s.units(body)
         assert claims and [len(g) for g in groups] == [2, 1]
     groups, claims = s.units("Abstract\nThe a is b. Unlike a c, it is d.\nDescription\n[0001] It is e.")
-    assert not claims and not any("Unlike" in u for u in groups[0])
+    assert not claims and len(groups) == 1 and len(groups[0]) == 3
+    assert s.units("   *** CLAIMS" + " " * 90 + "\n1. A x.")[1]
 
 
 def test_without_labels_or_documents(spark):
@@ -64,3 +65,19 @@ def test_without_labels_or_documents(spark):
     assert s.classify(d, s.learn(d, spark.createDataFrame([], LABELS), n)).count() == 0
     e = spark.createDataFrame([], DOCS)
     assert s.classify(e, s.learn(e, spark.createDataFrame([(1, "alpha", "")], LABELS), n)).count() == 0
+
+
+def test_notes_name_terms(spark):
+    assert s.note_words(["resins and salts", "rotors and boilers", None]) == {"resins": 0, "salts": 0, "rotors": 1, "boilers": 1}
+    docs = [(k, f"Claims\n1. A {'resin' if k % 2 else 'rotor'} with thing {k}.", "") for k in range(6)]
+    d, l = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(k, "alpha" if k % 2 else "beta", "") for k in range(6)], LABELS)
+    bare = s.learn(d, l, spark.createDataFrame([("alpha", None), ("beta", None)], NAMES))
+    noted = s.learn(d, l, spark.createDataFrame([("alpha", "a resin"), ("beta", "a rotor")], NAMES))
+    assert not bare.terms and set(noted.terms) == {"resin", "rotor"}
+
+
+def test_held_out_counts(spark):
+    docs, labels, truth = corpus()
+    rows = s.held_out(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), spark.createDataFrame([(a, "") for a in TERMS], NAMES))
+    assert [r[0] for r in rows] == [True, False] and 40 < sum(r[1] for r in rows) < 100
+    assert rows[0][4] > 0.9 * max(rows[0][2], rows[0][3])
