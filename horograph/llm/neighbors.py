@@ -300,7 +300,7 @@ class Index:
         n = int(self.points.sum())
         return {"vectors": n, "cells": len(self.points), "largest": int(self.points.max(initial=0)), "probes": self.quantizer.probes, "share": float((self.points * self.asks).sum()) / max(1, n) ** 2}
 
-    def nearest(self, k: int = 10, rerank: int = 48, region_rows: int = 4096) -> DataFrame:
+    def nearest(self, k: int = 10, rerank: int = 48, region_rows: int = 8192) -> DataFrame:
         """(id, neighbor, distance, rank): the ``k`` nearest of every usable vector."""
         sc = self.coded.sparkSession.sparkContext
         region = group_cells(self.quantizer.centres, self.points, region_rows)
@@ -380,7 +380,7 @@ def build(df: DataFrame, id_col: str = "vec_id", vec_col: str = "x", dim: int =
     return Index(rows, distinct, coded, quantizer, points, asks, int(copies), dim)
 
 
-def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "x", dim: int = 16, k: int = 10, rerank: int = 48, region_rows: int = 4096, **kw) -> DataFrame:
+def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "x", dim: int = 16, k: int = 10, rerank: int = 48, region_rows: int = 8192, **kw) -> DataFrame:
     """(id, neighbor, distance, rank): the ``k`` nearest of every usable vector."""
     index = build(df, id_col, vec_col, dim, k, **kw)
     if index is None:
