@@ -237,8 +237,17 @@ def ricci(a: np.ndarray, edges: np.ndarray, alpha: float = 0.5, cap: int = 25, c
     return np.array(out)
 
 
+def checked_nodes(edges: DataFrame) -> int:
+    """The number of nodes; raises beyond MAX_NODES before any task gets the edges."""
+    n = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct().count()
+    if n > MAX_NODES:
+        raise ValueError(f"{n} nodes need a dense matrix of {n} squared; at most {MAX_NODES} are allowed")
+    return n
+
+
 def on_graph(edges: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], pd.DataFrame], schema: str, weighted: bool = True) -> DataFrame:
-    """Run ``kernel(ids, matrix)`` in one task; a graph of at most MAX_NODES nodes fits it by the check in ``adjacency``."""
+    """Run ``kernel(ids, matrix)`` in one task, after a count shows that it gets at most MAX_NODES nodes."""
+    checked_nodes(edges)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return kernel(*adjacency(rows, weighted=weighted))
@@ -278,34 +287,3 @@ def adjacency_spectral(edges: DataFrame, dim: int = 8) -> DataFrame:
         return pd.DataFrame({"node_id": ids, "x": x.tolist(), "signs": [sign.tolist()] * len(ids)})
 
     return on_graph(edges, kernel, "node_id bigint, x array<double>, signs array<double>", weighted=False)
-
-
-def mean_hyperbolicity(edges: DataFrame, samples: int = 50_000, seed: int = 0) -> DataFrame:
-    """One row: mean delta over sampled quadruples of distinct nodes, the largest delta and the diameter."""
-
-    def kernel(ids: np.ndarray, a: np.ndarray) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        d = hop_matrix(a)
-        if len(ids) < 4:
-            return pd.DataFrame({"mean_delta": [0.0], "max_delta": [0.0], "diameter": [float(d[np.isfinite(d)].max())], "quadruples": [0]})
-        q = rng.integers(0, len(ids), (samples, 4))
-        s = np.sort(q, axis=1)
-        q = q[(s[:, 1:] != s[:, :-1]).all(axis=1)]
-        q = q[np.isfinite(d[q[:, 0], q[:, 1]]) & np.isfinite(d[q[:, 0], q[:, 2]]) & np.isfinite(d[q[:, 0], q[:, 3]])]
-        delta = hyperbolicity(d, q)
-        return pd.DataFrame({"mean_delta": [delta.mean() if len(q) else 0.0], "max_delta": [delta.max() if len(q) else 0.0], "diameter": [d[np.isfinite(d)].max()], "quadruples": [len(q)]})
-
-    return on_graph(edges, kernel, "mean_delta double, max_delta double, diameter double, quadruples bigint", weighted=False)
-
-
-def ricci_curvature(edges: DataFrame, sample: int = 500, seed: int = 0) -> DataFrame:
-    """One row: mean and deviation of the curvature of sampled edges and the share below 0."""
-
-    def kernel(ids: np.ndarray, a: np.ndarray) -> pd.DataFrame:
-        e = np.argwhere(np.triu(a, 1) > 0)
-        if len(e) > sample:
-            e = e[np.random.default_rng(seed).choice(len(e), sample, replace=False)]
-        c = ricci(a, e, seed=seed)
-        return pd.DataFrame({"mean": [c.mean()], "std": [c.std()], "negative": [(c < 0).mean()], "edges": [len(e)]})
-
-    return on_graph(edges, kernel, "mean double, std double, negative double, edges bigint", weighted=False)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from horograph.functions import distances
 from horograph.functions.charts import polar_to_ball
-from horograph.operators import dense, graph, links, parameters, ranking
+from horograph.operators import curvature, dense, graph, links, parameters, ranking
 from horograph.operators.ordering import running_totals
 from horograph.runtime import materialize
 
@@ -105,8 +105,8 @@ def diagnose(edges: DataFrame, quadruples: int = 20_000, ricci_edges: int = 500,
     """One row: structure, delta, curvature and tail of a graph, four signals and the verdict."""
     e = materialize(edges)
     s = graph.degree_and_clustering(e)
-    h = dense.mean_hyperbolicity(graph.largest_component(e), quadruples, seed)
-    r = dense.ricci_curvature(e, ricci_edges, seed).select(F.col("mean").alias("ricci_mean"), F.col("negative").alias("ricci_negative"))
+    h = curvature.mean_hyperbolicity(graph.largest_component(e), quadruples, seed)
+    r = curvature.ricci_curvature(e, ricci_edges, seed).select(F.col("mean").alias("ricci_mean"), F.col("negative").alias("ricci_negative"))
     deg = materialize(graph.degrees(e))
     best = parameters.continuous_scan(deg).orderBy("ks", "k_min").first()
     fit = {"k_min": None, "gamma": None, "ks": None, "ratio": None}

@@ -7,12 +7,18 @@ again draws the same.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horograph.functions import distances
-from horograph.operators.ordering import numbered
+from horograph.operators.ordering import kth, numbered, quantile
+from horograph.runtime import materialize
+
+
+#: Range of the slope of link probabilities.
+SLOPES = (1e-6, 1e3)
 
 
 def uniform(*key: Column) -> Column:
@@ -21,8 +27,10 @@ def uniform(*key: Column) -> Column:
 
 
 def threshold_graph(pairs: DataFrame, links: int) -> DataFrame:
-    """The ``links`` closest pairs; equal distances by (i, j)."""
-    return numbered(pairs, [F.asc("d"), F.asc("i"), F.asc("j")]).where(F.col("rn") <= links).drop("rn")
+    """The ``links`` closest pairs; equal distances by (i, j).  Only pairs up to the distance of the last one are sorted."""
+    edge = kth(pairs, "d", links - 1) if links > 0 else None
+    near = pairs.where(F.lit(links > 0)) if edge is None else pairs.where(F.col("d") <= edge)
+    return numbered(near, [F.asc("d"), F.asc("i"), F.asc("j")]).where(F.col("rn") <= links).drop("rn")
 
 
 def fermi_dirac_sample(pairs: DataFrame, r: float, t: float, graphs: int = 1, seed: int = 0) -> DataFrame:
@@ -36,10 +44,8 @@ def fit_fermi_dirac(pairs: DataFrame, edges: DataFrame, steps: int = 25) -> dict
     """Maximum-likelihood (r, t): Newton steps in (r / t, 1 / t), each one pass of sums over the pairs."""
     e = edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("a"))
     o = pairs.join(e, ["i", "j"], "left").select("d", F.coalesce("a", F.lit(0.0)).alias("a"))
-    from horograph.runtime import materialize
-
     o = materialize(o)
-    start = o.agg(F.expr("percentile(d, 0.5)")).first()[0]
+    start = quantile(o, "d", 0.5)
     if start is None:
         raise ValueError("no pairs to fit")
     b, s = float(start), 1.0  # z = b - s d
@@ -65,6 +71,44 @@ def fit_fermi_dirac(pairs: DataFrame, edges: DataFrame, steps: int = 25) -> dict
     return {"r": b / s, "t": 1 / s, "nll": nll}
 
 
+def estimate_temperature(pairs: DataFrame, arrival: DataFrame, edges: DataFrame, zeta: float = 1.0, steps: int = 60) -> float:
+    """The temperature whose link probabilities fit the edges best, for coordinates that are given.
+
+    Beyond its threshold (that of the end that arrived later, ``arrival``:
+    node_id, pos, threshold) a pair is linked with the probability sigmoid(-s u),
+    s = zeta / (2 temperature).  The likelihood is concave in s: Newton steps,
+    each one pass of sums over the pairs, inside a bracket that shrinks by the
+    sign of the slope.  Ends at the bounds of s with a warning.
+    """
+    from horograph.operators.pairs import gather
+
+    e = edges.select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j")).distinct().withColumn("a", F.lit(1.0))
+    g = gather(pairs, arrival, ["pos", "threshold"]).join(e, ["i", "j"], "left")
+    later = F.when(F.col("pos_j") > F.col("pos_i"), F.col("threshold_j")).otherwise(F.col("threshold_i"))
+    o = materialize(g.select((F.col("d") - later).alias("u"), F.coalesce("a", F.lit(0.0)).alias("a")))
+    low, high = SLOPES
+    s = 1.0
+    for _ in range(steps):
+        p = distances.sigmoid(-s * F.col("u"))
+        slope, bend = o.agg(F.sum((F.col("a") - p) * F.col("u")), F.sum(p * (1 - p) * F.col("u") * F.col("u"))).first()
+        if slope is None:
+            raise ValueError("no pairs to fit")
+        # the slope of the negative log-likelihood by s
+        if slope > 0:
+            high = s
+        else:
+            low = s
+        new = s - slope / bend if bend > 0 else low
+        new = new if low < new < high else math.sqrt(low * high)
+        if abs(new - s) <= 1e-10 * s or high / low < 1 + 1e-12:
+            s = new
+            break
+        s = new
+    if s <= SLOPES[0] * 1.001 or s >= SLOPES[1] * 0.999:
+        warnings.warn("link probabilities are nearly a step or nearly flat: the temperature is at its bound", stacklevel=2)
+    return zeta / (2 * s)
+
+
 def uniform_disk(spark: SparkSession, n: int, radius: float, seed: int = 0) -> DataFrame:
     """(node_id, r, theta) uniform by Euclidean area."""
     p = spark.range(n).withColumnRenamed("id", "node_id")

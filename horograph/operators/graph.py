@@ -6,13 +6,14 @@ per pair.  Null ends and self-loops are dropped by ``canonical_edges``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from horograph.operators import pairs as pairs_
 from horograph.runtime import is_small, materialize
 
 #: Up to so many edges a search from all nodes sends the whole graph to every task (16 bytes an edge and direction).
@@ -127,20 +128,22 @@ def relabel(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), "weight"), table
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, limit: int = 1000) -> DataFrame:
-    """(source, node_id, hops) by breadth-first search from every source at once; unreachable pairs are absent. Raises if a node is more than ``limit`` hops away."""
+def hop_distances(edges: DataFrame, sources: DataFrame, within: int | None = None) -> DataFrame:
+    """(source, node_id, hops) by breadth-first search from every source at once until no node is new, or up to ``within`` hops; other pairs are absent."""
     both = materialize(directed(edges).select("src", "dst"))
     start = sources.select(F.col("node_id").cast("bigint").alias("source")).where(F.col("source").isNotNull()).distinct()
     seen = frontier = materialize(start.select("source", F.col("source").alias("node_id"), F.lit(0).alias("hops")))
-    for hop in range(1, limit + 2):
+    hop = 0
+    while within is None or hop < within:
+        hop += 1
         step = frontier.join(both, F.col("node_id") == F.col("src")).select("source", F.col("dst").alias("node_id")).distinct()
         frontier = materialize(step.join(seen.select("source", "node_id"), ["source", "node_id"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.limit(1).count() == 0:
-            return seen
+            break
         seen = seen.unionByName(frontier)
         if hop % 8 == 0:
             seen = materialize(seen)
-    raise RuntimeError(f"some nodes are more than {limit} hops away")
+    return seen
 
 
 def all_hop_distances(edges: DataFrame) -> DataFrame:
@@ -152,32 +155,45 @@ def all_hop_distances(edges: DataFrame) -> DataFrame:
     e = materialize(edges.select("src", "dst"))
     if not is_small(e, HOP_EDGES):
         return hop_distances(edges, degrees(edges))
-    spark, rows = edges.sparkSession, e.toPandas().to_numpy(np.int64)
+    ids = np.unique(e.toPandas().to_numpy(np.int64))
+    shared, search = edges.sparkSession.sparkContext.broadcast(ids), searcher(e)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for s in batch["id"]:
+                hops = search(int(shared.value[s]), shared.value)
+                found = np.flatnonzero(hops >= 0)
+                yield pd.DataFrame({"source": shared.value[s], "node_id": shared.value[found], "hops": hops[found]})
+
+    return edges.sparkSession.range(0, len(ids), 1, max(1, -(-len(ids) // 64))).mapInPandas(run, "source bigint, node_id bigint, hops int")
+
+
+def searcher(edges: DataFrame) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A search that gives the hops from a node to sorted ids, -1 where there is no way; it carries the whole graph, so the caller checks its size."""
+    rows = edges.select("src", "dst").toPandas().to_numpy(np.int64)
     ids, at = np.unique(rows.ravel(), return_inverse=True)
     a, b = at.reshape(-1, 2).T
     tail, head = np.r_[a, b], np.r_[b, a]
     near = head[np.argsort(tail, kind="stable")].astype(np.int32)
     begin = np.r_[0, np.cumsum(np.bincount(tail, minlength=len(ids)))]
-    shared = spark.sparkContext.broadcast((ids, near, begin))
+    shared = edges.sparkSession.sparkContext.broadcast((ids, near, begin))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(source: int, wanted: np.ndarray) -> np.ndarray:
         ids, near, begin = shared.value
         n = len(ids)
-        for batch in batches:
-            for s in batch["id"]:
-                hops, front, hop = np.full(n, -1, np.int32), np.array([s]), 0
-                hops[s] = 0
-                while len(front):
-                    hop += 1
-                    size = begin[front + 1] - begin[front]
-                    step = near[np.repeat(begin[front] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                    step = step[hops[step] < 0]
-                    hops[step] = hop
-                    front = np.flatnonzero(hops == hop) if 8 * len(step) > n else np.unique(step)
-                found = np.flatnonzero(hops >= 0)
-                yield pd.DataFrame({"source": ids[s], "node_id": ids[found], "hops": hops[found]})
+        start = np.searchsorted(ids, source)
+        hops, front, hop = np.full(n, -1, np.int32), np.array([start]), 0
+        hops[start] = 0
+        while len(front):
+            hop += 1
+            size = begin[front + 1] - begin[front]
+            step = near[np.repeat(begin[front] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            step = step[hops[step] < 0]
+            hops[step] = hop
+            front = np.flatnonzero(hops == hop) if 8 * len(step) > n else np.unique(step)
+        return hops[np.searchsorted(ids, wanted)]
 
-    return spark.range(0, len(ids), 1, max(1, -(-len(ids) // 64))).mapInPandas(run, "source bigint, node_id bigint, hops int")
+    return search
 
 
 def weighted_distances(edges: DataFrame, sources: DataFrame, rounds: int = 1000) -> DataFrame:
@@ -217,6 +233,15 @@ def knn_graph(pairs: DataFrame, k: int = 15, symmetric: bool = True) -> DataFram
     """
     both = pairs.select(F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")), F.struct(F.col("j").alias("a"), F.col("i").alias("b")))).alias("e"), "d").select("e.a", "e.b", "d")
     near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
+    return _merged(near, symmetric)
+
+
+def knn_graph_of(nodes: DataFrame, kernel: pairs_.Kernel = pairs_.polar_kernel, k: int = 15, symmetric: bool = True) -> DataFrame:
+    """``knn_graph`` of points (node_id, r, v), without a table of all pairs."""
+    return _merged(pairs_.nearest_in_tiles(nodes, kernel, k), symmetric)
+
+
+def _merged(near: DataFrame, symmetric: bool) -> DataFrame:
     merged = near.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.max("d").alias("weight"), F.count(F.lit(1)).alias("chosen"))
     return merged.where(F.lit(symmetric) | (F.col("chosen") == 2)).select("src", "dst", "weight")
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from horograph.runtime import materialize
 
 #: Chunks wanted at most, and the fewest rows worth a chunk.
-CHUNKS, LEAST_ROWS = 4096, 10_000
+CHUNKS, LEAST_ROWS = 4096, 1_000
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from horograph.functions import distances
-from horograph.operators.pairs import expand_pairs, gather
+from horograph.operators.ordering import quantile
+from horograph.operators.pairs import gather, pairs_without
 
 # Multipliers of the pair hash: fixed values.
 HASH_A, HASH_B, HASH_SEED = 2654435761, 40503, 97
@@ -28,8 +29,7 @@ def split_edges(edges: DataFrame, q: float = 0.9, seed: int = 0) -> DataFrame:
 
 def non_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(src, dst) of all pairs of nodes that are no edge: an output of quadratic size."""
-    pairs = expand_pairs(nodes).select(F.col("i").alias("src"), F.col("j").alias("dst"))
-    return pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    return pairs_without(nodes, edges.select(F.col("src").alias("i"), F.col("dst").alias("j"))).select(F.col("i").alias("src"), F.col("j").alias("dst"))
 
 
 def candidates(split: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def candidate_scores(cands: DataFrame, scores: DataFrame) -> DataFrame:
 def decode_fermi_dirac(pairs: DataFrame, r: float | None = None, t: float = 1.0) -> DataFrame:
     """Link probabilities; ``r`` defaults to the median distance."""
     if r is None:
-        r = pairs.agg(F.expr("percentile(d, 0.5)")).first()[0] or 0.0
+        r = quantile(pairs, "d", 0.5) or 0.0
     return pairs.withColumn("p", distances.fermi_dirac(F.col("d"), r, t))
 
 

@@ -34,3 +34,60 @@ def numbered(df: DataFrame, order: list[Column], name: str = "rn", parts: int |
     """``df`` with its 1-based place in ``order``."""
     t = running_totals(df, order, {name: F.lit(1).cast("bigint")}, parts)
     return t.withColumn(name, F.col(name) + 1)
+
+
+#: Bins of one pass over the values, and values of the last bin that the driver takes.
+BINS, LAST = 4096, 20_000
+
+
+def _bin_of(df: DataFrame, col: str, rank: int) -> tuple[float, float, int, int] | None:
+    """(low, high, rows below, rows inside) of a range that holds the row of the 0-based ``rank``: at most LAST rows or one value.
+
+    Each pass counts the rows of ``BINS`` equal parts of the last range, so a
+    task sends at most so many counts, whatever the number of rows.
+    """
+    c = F.col(col)
+    values = df.where(c.isNotNull() & ~F.isnan(c))
+    low, high, inside = values.agg(F.min(c), F.max(c), F.count(F.lit(1))).first()
+    if not inside or rank >= inside:
+        return None
+    below = 0
+    while inside > LAST and low < high:
+        width = (high - low) / BINS
+        if width <= 0 or low + width == low:
+            break
+        part = F.least(F.floor((c - low) / width), F.lit(BINS - 1))
+        counts = values.where((c >= low) & (c <= high)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("low"), F.max(c).alias("high")).orderBy("part").collect()
+        for r in counts:
+            if below + r["n"] > rank:
+                if (r["low"], r["high"]) == (low, high):
+                    return low, high, below, r["n"]
+                low, high, inside = r["low"], r["high"], r["n"]
+                break
+            below += r["n"]
+    return low, high, below, inside
+
+
+def kth(df: DataFrame, col: str, rank: int) -> float | None:
+    """The value of the 0-based ``rank`` among the values of a column; None if there are not so many."""
+    at = _bin_of(df, col, rank)
+    if at is None:
+        return None
+    low, high, below, inside = at
+    if low == high:
+        return low
+    c = F.col(col)
+    if inside <= LAST:
+        return sorted(r[0] for r in df.where((c >= low) & (c <= high)).select(c).collect())[rank - below]
+    return numbered(df.where((c >= low) & (c <= high)).select(c), [c.asc()]).where(F.col("rn") == rank - below + 1).first()[0]
+
+
+def quantile(df: DataFrame, col: str, q: float) -> float | None:
+    """The exact quantile with linear interpolation between the two nearest values; None without values."""
+    c = F.col(col)
+    n = df.where(c.isNotNull() & ~F.isnan(c)).count()
+    if not n:
+        return None
+    place = q * (n - 1)
+    first = kth(df, col, int(place))
+    return first if place == int(place) else first + (kth(df, col, int(place) + 1) - first) * (place - int(place))

@@ -1,35 +1,41 @@
 """References to records that do not exist, kept up to date batch by batch.
 
-``OrphanTracker`` holds two keyed tables: the parent index (kind, key and the
-interval in which the parent exists) and the pending orphans.  A batch brings
-new references, parents that arrive and parents that end:
+``OrphanTracker`` keeps its state in a folder that all executors share: the
+parent index (kind, key and the interval in which the parent exists), the
+pending orphans and a log of the references taken in.  A batch brings new
+references, parents that arrive and parents that end:
 
 * a new reference probes the parent index and waits as an orphan if nothing
   holds it at its time;
 * an arriving parent resolves the waiting orphans of its key and interval;
 * an ending parent reopens the references of its key from that time on, unless
-  another parent of the key holds them.  They are read from ``history``, the
-  references taken in before, so the state holds orphans only.
+  another parent of the key holds them.  They are read from the log, which is
+  cut by batch and filtered by time in the scan: batches that hold no reference
+  as late as the earliest end are not read.
 
-After each batch the pending table is checkpointed and counted per table and
-month; the counts of all batches are the snapshots.  The final pending table
-does not depend on how the rows were cut into batches.
+So a reference is read once when it comes in and again only if it is later than
+an end that becomes known after it.  Each batch writes its tables and then a
+mark; a tracker on the same folder goes on after the last marked batch, and a
+batch that was cut short is written again.  The pending table of each batch is
+counted per table and month; the counts of all batches are the snapshots.  The
+final pending table does not depend on how the rows were cut into batches.
 
 Parent sides are broadcast if counted small, else joined by key with hot keys
 salted.  Defined results: a null key, an empty or blank code and ``\\N`` are no
 references; a reference without a time is held by no parent; a parent without
 a start exists from ever, without an end for ever; repeated deliveries of a
-reference give one orphan; empty tables give empty results.
+reference give one orphan, the earliest; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import uuid
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from horograph.runtime import hot_keys, is_small, materialize, skew_join
+from horograph.runtime import checkpoint_dir, hot_keys, is_small, materialize, skew_join
 
 REF = ["ref_table", "row_id", "ref_field", "kind", "key", "at"]
 IDENTITY = ["ref_table", "row_id", "ref_field"]
@@ -64,11 +70,11 @@ def airport_parents(airports: DataFrame) -> DataFrame:
     return rows.where(F.col("c.key").isNotNull()).select("parent", "c.kind", "c.key", "valid_from", "valid_to")
 
 
-def _holds(refs: DataFrame, parents: DataFrame, how: str) -> DataFrame:
+def _holds(refs: DataFrame, parents: DataFrame, how: str, small: bool) -> DataFrame:
     """References that some parent holds (left_semi) or none does (left_anti)."""
     p = parents.select(F.col("kind"), F.col("key"), F.col("valid_from").alias("__from"), F.col("valid_to").alias("__to"))
     inside = (F.col("__from").isNull() | (F.col("at") >= F.col("__from"))) & (F.col("__to").isNull() | (F.col("at") < F.col("__to"))) & F.col("at").isNotNull()
-    if is_small(parents):
+    if small:
         p = F.broadcast(p)
         return refs.join(p, (refs["kind"] == p["kind"]) & (refs["key"] == p["key"]) & inside, how)
     return skew_join(refs, p, ["kind", "key"], how, hot=hot_keys(refs, ["kind", "key"]), extra=inside)
@@ -79,53 +85,112 @@ def snapshot(pending: DataFrame, batch: int) -> DataFrame:
     return pending.groupBy("ref_table", "ref_field", month.alias("month")).agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(batch).alias("batch"), "ref_table", "ref_field", "month", "orphans")
 
 
-@dataclass
-class OrphanTracker:
-    """State of the check; ``apply`` takes the next batch."""
+_LOG = "ref_table string, row_id bigint, ref_field string, kind string, key string, at timestamp_ntz, at_us bigint, batch int"
+_PARENTS = "parent string, kind string, key string, valid_from timestamp_ntz, valid_to timestamp_ntz"
+_PENDING = "ref_table string, row_id bigint, ref_field string, kind string, key string, at timestamp_ntz"
+
 
-    parents: DataFrame | None = None
-    pending: DataFrame | None = None
-    batch: int = 0
-    snapshots: list[DataFrame] = field(default_factory=list)
+def micros(c: Column) -> Column:
+    """A time as a number, by which a scan can skip row groups."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(TIME), c)
 
-    def apply(self, refs: DataFrame, arriving: DataFrame, ending: DataFrame, history: DataFrame | None = None) -> "OrphanTracker":
-        """``arriving``: new parents (PARENT columns, valid_to null).  ``ending``: parents with their valid_to."""
-        arriving, ending = arriving.select(*PARENT), ending.select(*PARENT)
+
+class OrphanTracker:
+    """State of the check in the folder ``path``; ``apply`` takes the next batch."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark = spark
+        self.path = path or f"{checkpoint_dir(spark)}/orphans-{uuid.uuid4()}"
+        self.batch = 0
+        while self._exists(f"done/{self.batch}"):
+            self.batch += 1
+
+    def _hadoop(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        p, fs = self._hadoop(name)
+        return fs.exists(p)
+
+    def _table(self, name: str, schema: str) -> DataFrame:
+        if not self._exists(name):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+
+    @property
+    def parents(self) -> DataFrame:
+        return self._table(f"parents/{self.batch - 1}", _PARENTS)
+
+    @property
+    def pending(self) -> DataFrame:
+        return self._table(f"pending/{self.batch - 1}", _PENDING)
+
+    @property
+    def snapshots(self) -> list[DataFrame]:
+        return [snapshot(self._table(f"pending/{k}", _PENDING), k) for k in range(self.batch)]
+
+    def stage(self, refs: DataFrame) -> None:
+        """Writes references with their ``batch`` into the log in one pass; the batches are then applied without them."""
+        refs.select(*REF, micros(F.col("at")).alias("at_us"), "batch").write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/log")
+
+    def apply(self, refs: DataFrame | None, arriving: DataFrame, ending: DataFrame) -> "OrphanTracker":
+        """``refs``: new references, None if they are staged.  ``arriving``: new parents (PARENT columns, valid_to null).  ``ending``: parents with their valid_to."""
+        k = self.batch
+        if refs is not None:
+            refs.select(*REF, micros(F.col("at")).alias("at_us")).write.mode("overwrite").parquet(f"{self.path}/log/batch={k}")
+        log = self._table("log", _LOG)
+        arriving, ending = materialize(arriving.select(*PARENT)), materialize(ending.select(*PARENT))
         ended = ending.select(*PARENT[:-1], F.col("valid_to").alias("__end"))
-        known = arriving if self.parents is None else self.parents.unionByName(arriving)
+        known = self.parents.unionByName(arriving)
         same = [known[c].eqNullSafe(ended[c]) for c in PARENT[:-1]]
-        parents = materialize(
-            known.join(ended, same[0] & same[1] & same[2] & same[3], "left")
-            .select(*[known[c] for c in PARENT[:-1]], F.coalesce(known["valid_to"], F.col("__end")).alias("valid_to"))
-            .distinct()
-        )
-        waiting = _holds(refs.select(*REF), parents, "left_anti")
-        if self.pending is not None:
-            waiting = waiting.unionByName(_holds(self.pending, parents.join(arriving.select("kind", "key").distinct(), ["kind", "key"], "left_semi"), "left_anti"))
-        if history is not None:
-            gone = ending.select("parent", "kind", "key", F.col("valid_to").alias("valid_from"), F.lit(None).cast(TIME).alias("valid_to"))
-            waiting = waiting.unionByName(_holds(_holds(history.select(*REF), gone, "left_semi"), parents, "left_anti"))
-        pending = materialize(waiting.dropDuplicates(IDENTITY))
-        return OrphanTracker(parents, pending, self.batch + 1, [*self.snapshots, snapshot(pending, self.batch)])
-
-
-def track(refs: DataFrame, parents: DataFrame, batches: int = 3) -> OrphanTracker:
-    """Run the tracker over ``batches`` equal spans of arrival time; a parent arrives when it is added and ends when it is removed."""
-    first, last = refs.agg(F.min("arrived"), F.max("arrived")).first()
-    state = OrphanTracker()
-    cuts = [F.lit(str(first + (last - first) * k / batches)).cast(TIME) for k in range(1, batches)] if first is not None and batches > 1 else []
-    parents = materialize(parents.select(*PARENT))
-    for k in range(len(cuts) + 1):
-
-        def span(c: str, k: int = k) -> Column:
-            """Whether time ``c`` falls into batch ``k``; a missing time counts as the earliest."""
-            low = F.lit(True) if k == 0 else F.coalesce(F.col(c) > cuts[k - 1], F.lit(False))
-            high = F.lit(True) if k == len(cuts) else F.coalesce(F.col(c) <= cuts[k], F.lit(True))
-            return low & high
-
-        new = refs.where(span("arrived"))
-        arriving = parents.where(span("valid_from")).withColumn("valid_to", F.lit(None).cast(TIME))
-        ending = parents.where(F.col("valid_to").isNotNull() & F.when(F.coalesce(F.col("valid_to") >= F.col("valid_from"), F.lit(True)), span("valid_to")).otherwise(span("valid_from")))
-        history = refs.where(F.coalesce(F.col("arrived") <= cuts[k - 1], F.lit(True))) if k else None
-        state = state.apply(new, arriving, ending, history)
+        joined = known.join(ended, same[0] & same[1] & same[2] & same[3], "left")
+        joined.select(*[known[c] for c in PARENT[:-1]], F.coalesce(known["valid_to"], F.col("__end")).alias("valid_to")).distinct().write.mode("overwrite").parquet(f"{self.path}/parents/{k}")
+        parents = self._table(f"parents/{k}", _PARENTS)
+        small = is_small(parents)
+        waiting = _holds(log.where(F.col("batch") == k).select(*REF), parents, "left_anti", small)
+        if k:
+            touched = parents.join(arriving.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
+            waiting = waiting.unionByName(_holds(self.pending, touched, "left_anti", small))
+            earliest = ending.agg(F.min(micros(F.col("valid_to")))).first()[0]
+            if earliest is not None:
+                gone = ending.select("parent", "kind", "key", F.col("valid_to").alias("valid_from"), F.lit(None).cast(TIME).alias("valid_to"))
+                later = log.where((F.col("batch") < k) & (F.col("at_us") >= earliest)).select(*REF)
+                waiting = waiting.unionByName(_holds(_holds(later, gone, "left_semi", small), parents, "left_anti", small))
+        first = F.min(F.struct(F.col("at").isNull().alias("none"), "at", "kind", "key")).alias("f")
+        waiting.groupBy(*IDENTITY).agg(first).select(*IDENTITY, "f.kind", "f.key", "f.at").write.mode("overwrite").parquet(f"{self.path}/pending/{k}")
+        p, fs = self._hadoop(f"done/{k}")
+        fs.create(p).close()
+        self.batch = k + 1
+        return self
+
+
+def cut_times(first: datetime | None, last: datetime | None, batches: int) -> list[Column]:
+    """Ends of all but the last of ``batches`` equal spans, to the microsecond below."""
+    if first is None or batches < 2:
+        return []
+    return [F.lit(str(first + (last - first) * k // batches)).cast(TIME) for k in range(1, batches)]
+
+
+def track(refs: DataFrame, parents: DataFrame, batches: int = 3, span: tuple[datetime | None, datetime | None] | None = None, path: str | None = None) -> OrphanTracker:
+    """Run the tracker over ``batches`` equal parts of ``span``, by default that of the arrival times; a parent arrives when it is added and ends when it is removed."""
+    first, last = span or refs.agg(F.min("arrived"), F.max("arrived")).first()
+    cuts = cut_times(first, last, batches)
+
+    def place(c: Column) -> Column:
+        """The batch of a time; a missing one counts as the earliest."""
+        out = F.lit(len(cuts))
+        for k in reversed(range(len(cuts))):
+            out = F.when(c <= cuts[k], k).otherwise(out)
+        return F.when(c.isNull(), 0).otherwise(out).cast("int")
+
+    state = OrphanTracker(refs.sparkSession, path)
+    if not state.batch:
+        state.stage(refs.withColumn("batch", place(F.col("arrived"))))
+    start, end = F.col("valid_from"), F.col("valid_to")
+    # an end before the start is known with the start
+    timed = materialize(parents.select(*PARENT, place(start).alias("from_batch"), F.when(end < start, place(start)).when(end.isNotNull(), place(end)).alias("to_batch")))
+    for k in range(state.batch, len(cuts) + 1):
+        arriving = timed.where(F.col("from_batch") == k).withColumn("valid_to", F.lit(None).cast(TIME))
+        state.apply(None, arriving, timed.where(F.col("to_batch") == k))
     return state

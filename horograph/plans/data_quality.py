@@ -63,10 +63,13 @@ o AS (SELECT ref_table, row_id, ref_field, min(t) AS t FROM r WHERE v IS NOT NUL
 
 
 def _tracked(spark: SparkSession, sf_dir: str) -> orphans.OrphanTracker:
-    refs = orphans.references(table(spark, sf_dir, "routes"), "routes", "route_id", "recorded_at", "loaded_at", ["src", "dst"], ["src_iata", "dst_iata"]).unionByName(
-        orphans.references(table(spark, sf_dir, "graph_deltas"), "graph_deltas", "delta_id", "ts", "arrived_at", ["src", "dst"], [])
+    routes, deltas = table(spark, sf_dir, "routes"), table(spark, sf_dir, "graph_deltas")
+    refs = orphans.references(routes, "routes", "route_id", "recorded_at", "loaded_at", ["src", "dst"], ["src_iata", "dst_iata"]).unionByName(
+        orphans.references(deltas, "graph_deltas", "delta_id", "ts", "arrived_at", ["src", "dst"], [])
     )
-    return orphans.track(refs, orphans.airport_parents(table(spark, sf_dir, "airports")))
+    at = F.coalesce("a", "b").cast(orphans.TIME)
+    times = routes.select(F.col("loaded_at").alias("a"), F.col("recorded_at").alias("b")).unionByName(deltas.select(F.col("arrived_at").alias("a"), F.col("ts").alias("b")))
+    return orphans.track(refs, orphans.airport_parents(table(spark, sf_dir, "airports")), span=tuple(times.agg(F.min(at), F.max(at)).first()))
 
 
 @catalog.add("p4_found", _ORPHANS + "SELECT ref_table, row_id, ref_field FROM o")
@@ -82,13 +85,32 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tracked(spark, sf_dir).snapshots[-1].select("ref_table", "ref_field", F.date_format("month", "yyyy-MM").alias("month"), "orphans")
 
 
-@catalog.add("p4_snapshots")
+# A batch sees the references, the starts and the ends that are known by its end.
+_SNAPSHOTS = r"""
+WITH r0 AS (
+ SELECT 'routes' AS ref_table, route_id AS row_id, recorded_at AS t, coalesce(loaded_at, recorded_at) AS arrived, unnest(['src', 'dst', 'src_iata', 'dst_iata']) AS ref_field, unnest(['id', 'id', 'code', 'code']) AS k,
+  unnest([CAST(src AS VARCHAR), CAST(dst AS VARCHAR), upper(trim(src_iata, ' ')), upper(trim(dst_iata, ' '))]) AS v FROM routes
+ UNION ALL SELECT 'graph_deltas', delta_id, ts, coalesce(arrived_at, ts), unnest(['src', 'dst']), unnest(['id', 'id']), unnest([CAST(src AS VARCHAR), CAST(dst AS VARCHAR)]) FROM graph_deltas),
+w AS (SELECT min(epoch_us(a)) AS lo, max(epoch_us(a)) AS hi FROM (SELECT coalesce(loaded_at, recorded_at) AS a FROM routes UNION ALL SELECT coalesce(arrived_at, ts) FROM graph_deltas)),
+b AS (SELECT i AS batch, CASE WHEN i < 2 THEN make_timestamp(CAST(lo + ((hi - lo) * (i + 1)) // 3 AS BIGINT)) END AS upto FROM range(3) x(i), w),
+r AS (SELECT * FROM r0 WHERE v IS NOT NULL AND v <> '' AND v <> '\N'),
+p AS (SELECT 'id' AS k, CAST(airport_id AS VARCHAR) AS v, added_at, removed_at, CASE WHEN removed_at < added_at THEN added_at ELSE removed_at END AS ended_at FROM airports
+ UNION ALL SELECT 'code', upper(trim(iata, ' ')), added_at, removed_at, CASE WHEN removed_at < added_at THEN added_at ELSE removed_at END FROM airports),
+s AS (SELECT batch, ref_table, row_id, ref_field, min(t) AS t FROM r JOIN b ON upto IS NULL OR arrived IS NULL OR arrived <= upto
+ WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.k = r.k AND p.v = r.v AND (added_at IS NULL OR ((upto IS NULL OR added_at <= upto) AND r.t >= added_at)) AND r.t IS NOT NULL
+  AND (removed_at IS NULL OR r.t < removed_at OR (upto IS NOT NULL AND ended_at > upto)))
+ GROUP BY ALL)
+SELECT CAST(batch AS INTEGER) AS batch, ref_table, ref_field, date_trunc('month', t)::TIMESTAMP AS month, CAST(count(*) AS BIGINT) AS orphans FROM s GROUP BY ALL
+"""
+
+
+@catalog.add("p4_snapshots", _SNAPSHOTS)
 def p4_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts after every batch, as they stood then; they depend on the order of arrival, which SQL over the final tables cannot see."""
+    """The counts after every batch, as they stood then."""
     first, *rest = _tracked(spark, sf_dir).snapshots
     for s in rest:
         first = first.unionByName(s)
-    return first
+    return first.withColumn("month", F.col("month").cast(orphans.TIME))
 
 
 _DEGREES = """

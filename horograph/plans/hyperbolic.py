@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horograph.functions import charts, distances
 from horograph.functions.vectors import unit
-from horograph.operators import graph, links, pairs, parameters, ranking
+from horograph.operators import classification, generation, graph, links, pairs, parameters, ranking
+from horograph.operators.ordering import numbered
 from horograph.plans.catalog import Catalog
 from horograph.runtime import materialize, table
 
@@ -217,12 +218,12 @@ def _knn_sql(chosen: str) -> str:
 
 @catalog.add("knn_graph_symmetric", _knn_sql("TRUE"))
 def knn_graph_symmetric(spark, d):
-    return graph.knn_graph(pairs.polar_distances(emb(spark, d)), 15, True).withColumn("weight", F.round("weight", 6))
+    return graph.knn_graph_of(emb(spark, d), k=15).withColumn("weight", F.round("weight", 6))
 
 
 @catalog.add("knn_graph_mutual", _knn_sql("chosen = 2"))
 def knn_graph_mutual(spark, d):
-    return graph.knn_graph(pairs.polar_distances(emb(spark, d)), 15, False).withColumn("weight", F.round("weight", 6))
+    return graph.knn_graph_of(emb(spark, d), k=15, symmetric=False).withColumn("weight", F.round("weight", 6))
 
 
 @catalog.add("canonical_edges", _RG + "SELECT src, dst, weight FROM rg")
@@ -360,23 +361,34 @@ def hits_at_k(spark, d):
 _VOTE = (
     _PAIRS
     + """, b AS (SELECT i AS a, j AS b, lj AS lb, d FROM p UNION ALL SELECT j, i, li, d FROM p),
- n AS (SELECT a, lb, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS k FROM b WHERE a * 2654435761 % 5 = 0 AND b * 2654435761 % 5 <> 0),
- v AS (SELECT a, lb, count(*) AS c FROM n WHERE k <= 5 GROUP BY 1, 2), w AS (SELECT a, lb, row_number() OVER (PARTITION BY a ORDER BY c DESC, lb) AS o FROM v)
- SELECT a AS node_id, lb AS predicted, label FROM w JOIN emb ON emb.node_id = a WHERE o = 1"""
+ n AS (SELECT a, lb, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS k FROM b WHERE a * 2654435761 % 5 <> b * 2654435761 % 5),
+ v AS (SELECT a, lb, count(*) AS c FROM n WHERE k <= 5 GROUP BY 1, 2), w AS (SELECT a, lb, row_number() OVER (PARTITION BY a ORDER BY c DESC, lb) AS o FROM v),
+ x AS (SELECT a AS node_id, CAST(a * 2654435761 % 5 AS INTEGER) AS fold, label, lb AS predicted FROM w JOIN emb ON emb.node_id = a WHERE o = 1)
+"""
 )
 
 
-@catalog.add("knn_classification", _VOTE)
+def _voted(spark, d) -> DataFrame:
+    fold = F.pmod(F.col("node_id") * F.lit(2654435761).cast("bigint"), F.lit(5)).cast("int")
+    return classification.knn_predictions(emb(spark, d).withColumn("fold", fold), 5, digits=9)
+
+
+@catalog.add("knn_classification", _VOTE + "SELECT node_id, fold, label, predicted FROM x")
 def knn_classification(spark, d):
-    """Majority vote of the 5 nearest training nodes for a test fold of a fifth, split by hash; ties go to the smaller label."""
-    e = emb(spark, d)
-    test = lambda c: F.pmod(F.col(c) * F.lit(2654435761).cast("bigint"), F.lit(5)) == 0
-    p = pairs.gather(pairs.polar_distances(e), e, ["label"])
-    both = p.select(F.explode(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b"), F.col("label_j").alias("lb")), F.struct(F.col("j").alias("a"), F.col("i").alias("b"), F.col("label_i").alias("lb")))).alias("s"), F.round("d", 9).alias("d")).select("s.*", "d")
-    near = both.where(test("a") & ~test("b")).withColumn("k", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("k") <= 5)
-    votes = near.groupBy("a", "lb").agg(F.count(F.lit(1)).alias("c"))
-    top = votes.withColumn("o", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "lb"))).where(F.col("o") == 1)
-    return top.select(F.col("a").alias("node_id"), F.col("lb").alias("predicted")).join(e.select("node_id", "label"), "node_id")
+    """Majority vote of the 5 nearest nodes of the other four folds; folds by hash, so that SQL can repeat them."""
+    return _voted(spark, d)
+
+
+@catalog.add(
+    "knn_classification_scores",
+    _VOTE
+    + """, c AS (SELECT DISTINCT fold, label AS c FROM x UNION SELECT DISTINCT fold, predicted FROM x),
+ s AS (SELECT c.fold, c.c, count(*) FILTER (WHERE label = c.c) AS size, count(*) FILTER (WHERE predicted = c.c) AS said, count(*) FILTER (WHERE label = c.c AND predicted = c.c) AS hits FROM c JOIN x ON x.fold = c.fold GROUP BY 1, 2)
+ SELECT fold, round(sum(hits) / sum(size), 9) AS accuracy, round(sum(size * 2 * hits / (size + said)) / sum(size), 9) AS f1, CAST(sum(size) AS BIGINT) AS nodes, CAST(count(*) FILTER (WHERE size > 0) AS BIGINT) AS classes FROM s GROUP BY 1""",
+)
+def knn_classification_scores(spark, d):
+    s = classification.scores(_voted(spark, d), by_fold=True)
+    return s.select("fold", F.round("accuracy", 9).alias("accuracy"), F.round("f1", 9).alias("f1"), "nodes", "classes")
 
 
 def label_graph(spark, d) -> DataFrame:
@@ -415,8 +427,6 @@ def dmercator_nll(spark, d):
  SELECT round(sum(-CASE WHEN a THEN ln(q) ELSE ln(1 - q) END), 4) AS nll FROM q""",
 )
 def hypermap_nll(spark, d):
-    from horograph.operators.ordering import numbered
-
     e = emb(spark, d)
     arrival = numbered(e.select("node_id", "r"), [F.asc("r"), F.asc("node_id")], "pos").select("node_id", "pos", (3.0 + F.col("r")).alias("threshold"))
     return links.cross_entropy(links.decode_younger(pairs.polar_distances(e), arrival), label_graph(spark, d)).select(F.round("nll", 4).alias("nll"))
@@ -582,10 +592,18 @@ def powerlaw_gof(spark, d):
 @catalog.add("hyperbolic_rgg", _PAIRS + ", k AS (SELECT (SELECT count(*) FROM emb) * 4 AS m), n AS (SELECT i, j, row_number() OVER (ORDER BY round(d, 9), i, j) AS rn FROM p) SELECT i, j FROM n, k WHERE rn <= m")
 def hyperbolic_rgg(spark, d):
     """Random geometric graph: the 4N closest pairs are linked."""
-    from horograph.operators.generation import threshold_graph
+    e = emb(spark, d)
+    p = materialize(pairs.polar_distances(e).withColumn("d", F.round("d", 9)))
+    return generation.threshold_graph(p, 4 * e.count()).select("i", "j")
+
 
+@catalog.add("hypermap_temperature")
+def hypermap_temperature(spark, d):
+    """The temperature at which the places of the vectors fit the graph of their 15 nearest best; arrival by radius."""
     e = emb(spark, d)
-    return threshold_graph(pairs.polar_distances(e).withColumn("d", F.round("d", 9)), 4 * e.count()).select("i", "j")
+    arrival = numbered(e.select("node_id", "r"), [F.asc("r"), F.asc("node_id")], "pos").select("node_id", "pos", (0.5 * F.col("r")).alias("threshold"))
+    t = generation.estimate_temperature(pairs.polar_distances(e), arrival, graph.knn_graph_of(e, k=15))
+    return spark.createDataFrame([(t,)], "temperature double")
 
 
 @catalog.add(

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from horograph.operators import dense, embedders, evaluation, generation, graph, links, pairs
+from horograph.operators import curvature, dense, embedders, evaluation, generation, graph, links, pairs
 from horograph.plans import data_quality
 from horograph.plans.catalog import Catalog
 from horograph.plans.hyperbolic import EMB, TRIANGLES, emb, rg
@@ -76,12 +76,12 @@ def adjacency_spectral(spark, d):
 
 @catalog.add("hyperbolicity")
 def hyperbolicity(spark, d):
-    return dense.mean_hyperbolicity(rg(spark, d))
+    return curvature.mean_hyperbolicity(rg(spark, d))
 
 
 @catalog.add("ricci_curvature")
 def ricci_curvature(spark, d):
-    return dense.ricci_curvature(rg(spark, d))
+    return curvature.ricci_curvature(rg(spark, d))
 
 
 @catalog.add("balanced_tree", "SELECT CAST((i - 1) // 2 AS BIGINT) AS src, CAST(i AS BIGINT) AS dst, 1.0::DOUBLE AS weight FROM range(1, 31) t(i)")
@@ -113,7 +113,7 @@ def fermi_dirac_sample(spark, d):
 @catalog.add("fermi_dirac_fit")
 def fermi_dirac_fit(spark, d):
     p = materialize(pairs.polar_distances(emb(spark, d)))
-    f = generation.fit_fermi_dirac(p, graph.knn_graph(p, 15))
+    f = generation.fit_fermi_dirac(p, graph.knn_graph_of(emb(spark, d), k=15))
     return spark.createDataFrame([(f["r"], f["t"], f["nll"])], "r double, t double, nll double")
 
 

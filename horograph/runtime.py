@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when a count shows that it has no more rows than this.
 BROADCAST_ROWS = 200_000
-#: A key is hot when it holds more than one row in HOT_SHARE; there can be at most HOT_SHARE such keys.
-HOT_SHARE = 64
-#: Parts into which the rows of a hot key are spread.
-SALTS = 48
+#: A key is hot when it holds more rows than so many tasks have on average.
+HOT_TASKS = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,31 +44,36 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is small, else as it is."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def tasks_of(df: DataFrame) -> int:
+    """The number of tasks a shuffle of this session has."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """The keys that hold more than one in ``share`` of the rows: at most ``share`` rows, whatever the input."""
+def hot_keys(df: DataFrame, keys: Sequence[str], tasks: int | None = None) -> DataFrame:
+    """The keys that hold more rows than ``HOT_TASKS`` mean tasks, with ``__parts``, the number of mean tasks their rows fill.
+
+    There are fewer of them than half the tasks, and their parts are at most
+    twice the tasks, whatever the input.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__all"))
-    return counts.crossJoin(F.broadcast(total)).where(F.col("__n") * share > F.col("__all")).select(*keys)
+    mean = counts.agg((F.sum("__n") / (tasks or tasks_of(df))).alias("__mean"))
+    return counts.crossJoin(F.broadcast(mean)).where(F.col("__n") > HOT_TASKS * F.col("__mean")).select(*keys, F.ceil(F.col("__n") / F.col("__mean")).cast("int").alias("__parts"))
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None, extra: Column | None = None, salts: int = SALTS) -> DataFrame:
-    """Equi-join that spreads the rows of ``left`` with hot keys over ``salts`` parts.
+def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hot: DataFrame | None = None, extra: Column | None = None) -> DataFrame:
+    """Equi-join that spreads the rows of ``left`` with hot keys over as many parts as they fill tasks.
 
-    ``hot`` holds the hot keys (at most HOT_SHARE rows, so it is broadcast);
-    rows of ``right`` with such a key are repeated once per part.  ``how`` is
-    one of inner, left, left_semi, left_anti.
+    ``hot`` is what ``hot_keys`` gives for ``left`` (a bounded table, so it is
+    broadcast); rows of ``right`` with such a key are repeated once per part.
+    ``how`` is one of inner, left, left_semi, left_anti.
     """
     keys = list(keys)
     if hot is None:
         hot = hot_keys(left, keys)
-    flag = F.broadcast(hot.select(*keys).withColumn("__hot", F.lit(True)))
-    salted = left.join(flag, keys, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("__hot")
-    spread = right.join(flag, keys, "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    flag = F.broadcast(hot.select(*keys, "__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    salted = left.join(flag, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), parts).cast("int")).drop("__parts")
+    spread = right.join(flag, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
     if extra is None:
         return salted.join(spread, [*keys, "__salt"], how).drop("__salt")
     on = [salted[c] == spread[c] for c in [*keys, "__salt"]]

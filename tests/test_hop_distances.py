@@ -43,9 +43,8 @@ def test_every_node_is_a_source(spark, folder, monkeypatch, joins):
     assert len(out) == len(got) and got == brute(pairs) and max(got.values()) == 44
 
 
-def test_search_does_not_end_silently(spark):
-    e = spark.createDataFrame([(k, k + 1, 1.0) for k in range(5)], "src bigint, dst bigint, weight double")
-    start = spark.createDataFrame([(0,)], "node_id bigint")
-    assert graph.hop_distances(e, start, limit=5).count() == 6
-    with pytest.raises(RuntimeError, match="more than 4 hops"):
-        graph.hop_distances(e, start, limit=4).count()
+def test_search_ends_when_nothing_is_new(spark):
+    e = spark.createDataFrame([(k, k + 1, 1.0) for k in range(40)], "src bigint, dst bigint, weight double")
+    start = spark.createDataFrame([(0,), (None,), (0,)], "node_id bigint")
+    assert sorted(tuple(r) for r in graph.hop_distances(e, start).collect()) == [(0, k, k) for k in range(41)]
+    assert sorted(tuple(r) for r in graph.hop_distances(e, start, within=3).collect()) == [(0, k, k) for k in range(4)]

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from horograph.operators import orphans as o
 
@@ -55,11 +56,11 @@ def test_arrival_resolves_and_end_reopens(spark):
     refs = o.references(spark.createDataFrame([(1, 5, None, None, None, day(10), day(0), "", ""), (2, 5, None, None, None, day(30), day(0), "", "")], ROUTES), "routes", "route_id", "recorded_at", "loaded_at", ["src"], [])
     parents = o.airport_parents(spark.createDataFrame([(5, None, day(5), day(20), "")], AIRPORTS))
     none, add = parents.limit(0), parents.selectExpr("parent", "kind", "key", "valid_from", "cast(null as timestamp_ntz) valid_to")
-    s = o.OrphanTracker().apply(refs, none, none)
+    s = o.OrphanTracker(spark).apply(refs, none, none)
     assert found(s) == {(1, "src"), (2, "src")}
-    s = s.apply(refs.limit(0), add, none, refs)
+    s = s.apply(refs.limit(0), add, none)
     assert found(s) == set()
-    s = s.apply(refs.limit(0), none, parents, refs)
+    s = s.apply(refs.limit(0), none, parents)
     assert found(s) == {(2, "src")}
     assert [x.agg({"orphans": "sum"}).first()[0] for x in s.snapshots] == [2, None, 1]
 
@@ -68,3 +69,26 @@ def test_empty(spark):
     assert found(run(spark, [], [])) == set()
     assert found(run(spark, [], [(1, "AAA", None, None)])) == set()
     assert found(run(spark, [(1, 3, 3, "AAA", None, day(1), day(1))], [])) == {(1, "src"), (1, "dst"), (1, "src_iata")}
+
+
+def test_a_new_tracker_goes_on_where_the_last_one_stopped(spark, tmp_path):
+    refs = o.references(spark.createDataFrame([(1, 5, None, None, None, day(10), day(0), "", ""), (2, 5, None, None, None, day(30), day(0), "", "")], ROUTES), "routes", "route_id", "recorded_at", "loaded_at", ["src"], [])
+    parents = o.airport_parents(spark.createDataFrame([(5, None, day(5), day(20), "")], AIRPORTS))
+    none, add = parents.limit(0), parents.selectExpr("parent", "kind", "key", "valid_from", "cast(null as timestamp_ntz) valid_to")
+    path = str(tmp_path / "state")
+    o.OrphanTracker(spark, path).apply(refs, add, none)
+    # a batch that wrote some of its tables, but no mark
+    refs.limit(1).select(*o.REF).write.parquet(f"{path}/pending/1")
+    again = o.OrphanTracker(spark, path)
+    assert again.batch == 1 and found(again) == set()
+    assert found(again.apply(refs.limit(0), none, parents)) == {(2, "src")}
+    assert o.OrphanTracker(spark, path).batch == 2
+
+
+def test_only_references_later_than_an_end_are_read_again(spark, tmp_path):
+    rows = [(k, 5, None, None, None, day(k), day(k), "", "") for k in range(100)]
+    refs = o.references(spark.createDataFrame(rows, ROUTES), "routes", "route_id", "recorded_at", "loaded_at", ["src"], [])
+    state = o.track(refs, o.airport_parents(spark.createDataFrame([(5, None, None, day(95), "")], AIRPORTS)), 10, path=str(tmp_path / "s"))
+    assert found(state) == {(k, "src") for k in range(95, 100)}
+    plan = state._table("log", o._LOG).where(F.col("at_us") >= 5)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(at_us,5)" in plan
