@@ -2,7 +2,7 @@
 
 ``OrphanTracker`` keeps its state in a folder that all executors share: the
 parent index (kind, key and the interval in which the parent exists), the
-pending orphans and a log of the references taken in.  A batch brings new
+pending orphans and a log of the rows taken in, one for all references of a row.  A batch brings new
 references, parents that arrive and parents that end:
 
 * a new reference probes the parent index and waits as an orphan if nothing
@@ -30,7 +30,10 @@ reference give one orphan, the earliest; empty tables give empty results.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,15 +53,40 @@ def code(c: Column) -> Column:
     return F.when((t != "") & (t != r"\N"), t)
 
 
-def references(df: DataFrame, name: str, row_id: str, at: str, arrived: str, ids: list[str], codes: list[str]) -> DataFrame:
-    """The references of a table in long form, with the time they arrived."""
-    cells = [F.struct(F.lit(c).alias("f"), F.lit("id").alias("kind"), F.col(c).cast("string").alias("key")) for c in ids]
-    cells += [F.struct(F.lit(c).alias("f"), F.lit("code").alias("kind"), code(F.col(c)).alias("key")) for c in codes]
-    return (
-        df.select(F.col(row_id).alias("row_id"), F.col(at).cast(TIME).alias("at"), F.coalesce(F.col(arrived), F.col(at)).cast(TIME).alias("arrived"), F.explode(F.array(*cells)).alias("c"))
-        .where(F.col("c.key").isNotNull())
-        .select(F.lit(name).alias("ref_table"), "row_id", F.col("c.f").alias("ref_field"), F.col("c.kind").alias("kind"), F.col("c.key").alias("key"), "at", "arrived")
-    )
+def micros(c: Column) -> Column:
+    """A time as a number, by which a scan can skip row groups."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(TIME), c)
+
+
+@dataclass(frozen=True)
+class Source:
+    """A table that refers to parents: its key, the time of its rows, when they arrived, and the columns that hold ids and codes."""
+
+    name: str
+    row_id: str
+    at: str
+    arrived: str
+    ids: tuple[str, ...] = ()
+    codes: tuple[str, ...] = ()
+
+    @property
+    def schema(self) -> str:
+        return ", ".join(["row_id bigint, at timestamp_ntz, at_us bigint", *[f"id_{c} string" for c in self.ids], *[f"code_{c} string" for c in self.codes], "batch int"])
+
+    def wide(self, df: DataFrame) -> DataFrame:
+        """Its rows as the log keeps them, one for all their references, with the time they arrived."""
+        at = F.col(self.at).cast(TIME)
+        keys = [F.col(c).cast("string").alias(f"id_{c}") for c in self.ids] + [code(F.col(c)).alias(f"code_{c}") for c in self.codes]
+        return df.select(F.col(self.row_id).cast("bigint").alias("row_id"), at.alias("at"), micros(at).alias("at_us"), F.coalesce(F.col(self.arrived), F.col(self.at)).cast(TIME).alias("arrived"), *keys)
+
+    def references(self, wide: DataFrame) -> DataFrame:
+        """The references in long form (REF columns)."""
+        cells = [F.struct(F.lit(c).alias("f"), F.lit(kind).alias("kind"), F.col(f"{kind}_{c}").alias("key")) for kind, columns in (("id", self.ids), ("code", self.codes)) for c in columns]
+        return (
+            wide.select("row_id", "at", F.explode(F.array(*cells)).alias("c"))
+            .where(F.col("c.key").isNotNull())
+            .select(F.lit(self.name).alias("ref_table"), "row_id", F.col("c.f").alias("ref_field"), F.col("c.kind").alias("kind"), F.col("c.key").alias("key"), "at")
+        )
 
 
 def airport_parents(airports: DataFrame) -> DataFrame:
@@ -85,21 +113,15 @@ def snapshot(pending: DataFrame, batch: int) -> DataFrame:
     return pending.groupBy("ref_table", "ref_field", month.alias("month")).agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(batch).alias("batch"), "ref_table", "ref_field", "month", "orphans")
 
 
-_LOG = "ref_table string, row_id bigint, ref_field string, kind string, key string, at timestamp_ntz, at_us bigint, batch int"
 _PARENTS = "parent string, kind string, key string, valid_from timestamp_ntz, valid_to timestamp_ntz"
 _PENDING = "ref_table string, row_id bigint, ref_field string, kind string, key string, at timestamp_ntz"
 
 
-def micros(c: Column) -> Column:
-    """A time as a number, by which a scan can skip row groups."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(TIME), c)
-
-
 class OrphanTracker:
     """State of the check in the folder ``path``; ``apply`` takes the next batch."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, sources: Sequence[Source], path: str | None = None) -> None:
+        self.spark, self.sources = spark, list(sources)
         self.path = path or f"{checkpoint_dir(spark)}/orphans-{uuid.uuid4()}"
         self.batch = 0
         while self._exists(f"done/{self.batch}"):
@@ -130,16 +152,22 @@ class OrphanTracker:
     def snapshots(self) -> list[DataFrame]:
         return [snapshot(self._table(f"pending/{k}", _PENDING), k) for k in range(self.batch)]
 
-    def stage(self, refs: DataFrame) -> None:
-        """Writes references with their ``batch`` into the log in one pass; the batches are then applied without them."""
-        refs.select(*REF, micros(F.col("at")).alias("at_us"), "batch").write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/log")
+    def stage(self, tables: dict[str, DataFrame]) -> None:
+        """Writes the rows of all sources, with their ``batch``, into the log in one pass; the batches are then applied without them."""
+        for s in self.sources:
+            tables[s.name].drop("arrived").write.mode("overwrite").partitionBy("batch").parquet(f"{self.path}/log/{s.name}")
+
+    def _references(self, which: Column) -> DataFrame:
+        """The references of the rows of the log for which ``which`` holds."""
+        parts = [s.references(self._table(f"log/{s.name}", s.schema).where(which)) for s in self.sources]
+        return reduce(DataFrame.unionByName, parts)
 
-    def apply(self, refs: DataFrame | None, arriving: DataFrame, ending: DataFrame) -> "OrphanTracker":
-        """``refs``: new references, None if they are staged.  ``arriving``: new parents (PARENT columns, valid_to null).  ``ending``: parents with their valid_to."""
+    def apply(self, tables: dict[str, DataFrame] | None, arriving: DataFrame, ending: DataFrame) -> "OrphanTracker":
+        """``tables``: new rows of the sources by name, None if they are staged.  ``arriving``: new parents (PARENT columns, valid_to null).  ``ending``: parents with their valid_to."""
         k = self.batch
-        if refs is not None:
-            refs.select(*REF, micros(F.col("at")).alias("at_us")).write.mode("overwrite").parquet(f"{self.path}/log/batch={k}")
-        log = self._table("log", _LOG)
+        for s in self.sources if tables is not None else []:
+            if s.name in tables:
+                s.wide(tables[s.name]).drop("arrived").write.mode("overwrite").parquet(f"{self.path}/log/{s.name}/batch={k}")
         arriving, ending = materialize(arriving.select(*PARENT)), materialize(ending.select(*PARENT))
         ended = ending.select(*PARENT[:-1], F.col("valid_to").alias("__end"))
         known = self.parents.unionByName(arriving)
@@ -148,14 +176,14 @@ class OrphanTracker:
         joined.select(*[known[c] for c in PARENT[:-1]], F.coalesce(known["valid_to"], F.col("__end")).alias("valid_to")).distinct().write.mode("overwrite").parquet(f"{self.path}/parents/{k}")
         parents = self._table(f"parents/{k}", _PARENTS)
         small = is_small(parents)
-        waiting = _holds(log.where(F.col("batch") == k).select(*REF), parents, "left_anti", small)
+        waiting = _holds(self._references(F.col("batch") == k), parents, "left_anti", small)
         if k:
             touched = parents.join(arriving.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
             waiting = waiting.unionByName(_holds(self.pending, touched, "left_anti", small))
             earliest = ending.agg(F.min(micros(F.col("valid_to")))).first()[0]
             if earliest is not None:
                 gone = ending.select("parent", "kind", "key", F.col("valid_to").alias("valid_from"), F.lit(None).cast(TIME).alias("valid_to"))
-                later = log.where((F.col("batch") < k) & (F.col("at_us") >= earliest)).select(*REF)
+                later = self._references((F.col("batch") < k) & (F.col("at_us") >= earliest))
                 waiting = waiting.unionByName(_holds(_holds(later, gone, "left_semi", small), parents, "left_anti", small))
         first = F.min(F.struct(F.col("at").isNull().alias("none"), "at", "kind", "key")).alias("f")
         waiting.groupBy(*IDENTITY).agg(first).select(*IDENTITY, "f.kind", "f.key", "f.at").write.mode("overwrite").parquet(f"{self.path}/pending/{k}")
@@ -172,9 +200,10 @@ def cut_times(first: datetime | None, last: datetime | None, batches: int) -> li
     return [F.lit(str(first + (last - first) * k // batches)).cast(TIME) for k in range(1, batches)]
 
 
-def track(refs: DataFrame, parents: DataFrame, batches: int = 3, span: tuple[datetime | None, datetime | None] | None = None, path: str | None = None) -> OrphanTracker:
-    """Run the tracker over ``batches`` equal parts of ``span``, by default that of the arrival times; a parent arrives when it is added and ends when it is removed."""
-    first, last = span or refs.agg(F.min("arrived"), F.max("arrived")).first()
+def track(tables: list[tuple[Source, DataFrame]], parents: DataFrame, batches: int = 3, path: str | None = None) -> OrphanTracker:
+    """Run the tracker over ``batches`` equal parts of the arrival times; a parent arrives when it is added and ends when it is removed."""
+    wide = {s.name: s.wide(df) for s, df in tables}
+    first, last = reduce(DataFrame.unionByName, [w.select("arrived") for w in wide.values()]).agg(F.min("arrived"), F.max("arrived")).first()
     cuts = cut_times(first, last, batches)
 
     def place(c: Column) -> Column:
@@ -184,9 +213,9 @@ def track(refs: DataFrame, parents: DataFrame, batches: int = 3, span: tuple[dat
             out = F.when(c <= cuts[k], k).otherwise(out)
         return F.when(c.isNull(), 0).otherwise(out).cast("int")
 
-    state = OrphanTracker(refs.sparkSession, path)
+    state = OrphanTracker(parents.sparkSession, [s for s, _ in tables], path)
     if not state.batch:
-        state.stage(refs.withColumn("batch", place(F.col("arrived"))))
+        state.stage({name: w.withColumn("batch", place(F.col("arrived"))) for name, w in wide.items()})
     start, end = F.col("valid_from"), F.col("valid_to")
     # an end before the start is known with the start
     timed = materialize(parents.select(*PARENT, place(start).alias("from_batch"), F.when(end < start, place(start)).when(end.isNotNull(), place(end)).alias("to_batch")))

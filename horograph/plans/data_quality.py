@@ -62,14 +62,12 @@ o AS (SELECT ref_table, row_id, ref_field, min(t) AS t FROM r WHERE v IS NOT NUL
 """
 
 
+ROUTES = orphans.Source("routes", "route_id", "recorded_at", "loaded_at", ("src", "dst"), ("src_iata", "dst_iata"))
+DELTAS = orphans.Source("graph_deltas", "delta_id", "ts", "arrived_at", ("src", "dst"))
+
+
 def _tracked(spark: SparkSession, sf_dir: str) -> orphans.OrphanTracker:
-    routes, deltas = table(spark, sf_dir, "routes"), table(spark, sf_dir, "graph_deltas")
-    refs = orphans.references(routes, "routes", "route_id", "recorded_at", "loaded_at", ["src", "dst"], ["src_iata", "dst_iata"]).unionByName(
-        orphans.references(deltas, "graph_deltas", "delta_id", "ts", "arrived_at", ["src", "dst"], [])
-    )
-    at = F.coalesce("a", "b").cast(orphans.TIME)
-    times = routes.select(F.col("loaded_at").alias("a"), F.col("recorded_at").alias("b")).unionByName(deltas.select(F.col("arrived_at").alias("a"), F.col("ts").alias("b")))
-    return orphans.track(refs, orphans.airport_parents(table(spark, sf_dir, "airports")), span=tuple(times.agg(F.min(at), F.max(at)).first()))
+    return orphans.track([(s, table(spark, sf_dir, s.name)) for s in (ROUTES, DELTAS)], orphans.airport_parents(table(spark, sf_dir, "airports")))
 
 
 @catalog.add("p4_found", _ORPHANS + "SELECT ref_table, row_id, ref_field FROM o")

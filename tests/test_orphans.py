@@ -12,10 +12,13 @@ ROUTES = "route_id bigint, src bigint, dst bigint, src_iata string, dst_iata str
 AIRPORTS = "airport_id bigint, iata string, added_at timestamp_ntz, removed_at timestamp_ntz, parent string"
 
 
+SOURCE = o.Source("routes", "route_id", "recorded_at", "loaded_at", ("src", "dst"), ("src_iata", "dst_iata"))
+ONLY_SRC = o.Source("routes", "route_id", "recorded_at", "loaded_at", ("src",))
+
+
 def run(spark, routes, airports, batches=3):
     r = spark.createDataFrame([(*x, "k", "v") for x in routes], ROUTES)
-    refs = o.references(r, "routes", "route_id", "recorded_at", "loaded_at", ["src", "dst"], ["src_iata", "dst_iata"])
-    return o.track(refs, o.airport_parents(spark.createDataFrame([(*a, "p") for a in airports], AIRPORTS)), batches)
+    return o.track([(SOURCE, r)], o.airport_parents(spark.createDataFrame([(*a, "p") for a in airports], AIRPORTS)), batches)
 
 
 def found(state):
@@ -53,14 +56,14 @@ def test_any_batches_give_the_direct_result(spark, seed, monkeypatch):
 
 
 def test_arrival_resolves_and_end_reopens(spark):
-    refs = o.references(spark.createDataFrame([(1, 5, None, None, None, day(10), day(0), "", ""), (2, 5, None, None, None, day(30), day(0), "", "")], ROUTES), "routes", "route_id", "recorded_at", "loaded_at", ["src"], [])
+    rows = spark.createDataFrame([(1, 5, None, None, None, day(10), day(0), "", ""), (2, 5, None, None, None, day(30), day(0), "", "")], ROUTES)
     parents = o.airport_parents(spark.createDataFrame([(5, None, day(5), day(20), "")], AIRPORTS))
     none, add = parents.limit(0), parents.selectExpr("parent", "kind", "key", "valid_from", "cast(null as timestamp_ntz) valid_to")
-    s = o.OrphanTracker(spark).apply(refs, none, none)
+    s = o.OrphanTracker(spark, [ONLY_SRC]).apply({"routes": rows}, none, none)
     assert found(s) == {(1, "src"), (2, "src")}
-    s = s.apply(refs.limit(0), add, none)
+    s = s.apply({"routes": rows.limit(0)}, add, none)
     assert found(s) == set()
-    s = s.apply(refs.limit(0), none, parents)
+    s = s.apply({}, none, parents)
     assert found(s) == {(2, "src")}
     assert [x.agg({"orphans": "sum"}).first()[0] for x in s.snapshots] == [2, None, 1]
 
@@ -72,23 +75,22 @@ def test_empty(spark):
 
 
 def test_a_new_tracker_goes_on_where_the_last_one_stopped(spark, tmp_path):
-    refs = o.references(spark.createDataFrame([(1, 5, None, None, None, day(10), day(0), "", ""), (2, 5, None, None, None, day(30), day(0), "", "")], ROUTES), "routes", "route_id", "recorded_at", "loaded_at", ["src"], [])
+    rows = spark.createDataFrame([(1, 5, None, None, None, day(10), day(0), "", ""), (2, 5, None, None, None, day(30), day(0), "", "")], ROUTES)
     parents = o.airport_parents(spark.createDataFrame([(5, None, day(5), day(20), "")], AIRPORTS))
     none, add = parents.limit(0), parents.selectExpr("parent", "kind", "key", "valid_from", "cast(null as timestamp_ntz) valid_to")
     path = str(tmp_path / "state")
-    o.OrphanTracker(spark, path).apply(refs, add, none)
+    o.OrphanTracker(spark, [ONLY_SRC], path).apply({"routes": rows}, add, none)
     # a batch that wrote some of its tables, but no mark
-    refs.limit(1).select(*o.REF).write.parquet(f"{path}/pending/1")
-    again = o.OrphanTracker(spark, path)
+    rows.limit(1).selectExpr("'routes' ref_table", "route_id row_id").write.parquet(f"{path}/pending/1")
+    again = o.OrphanTracker(spark, [ONLY_SRC], path)
     assert again.batch == 1 and found(again) == set()
-    assert found(again.apply(refs.limit(0), none, parents)) == {(2, "src")}
-    assert o.OrphanTracker(spark, path).batch == 2
+    assert found(again.apply({}, none, parents)) == {(2, "src")}
+    assert o.OrphanTracker(spark, [ONLY_SRC], path).batch == 2
 
 
 def test_only_references_later_than_an_end_are_read_again(spark, tmp_path):
     rows = [(k, 5, None, None, None, day(k), day(k), "", "") for k in range(100)]
-    refs = o.references(spark.createDataFrame(rows, ROUTES), "routes", "route_id", "recorded_at", "loaded_at", ["src"], [])
-    state = o.track(refs, o.airport_parents(spark.createDataFrame([(5, None, None, day(95), "")], AIRPORTS)), 10, path=str(tmp_path / "s"))
+    state = o.track([(ONLY_SRC, spark.createDataFrame(rows, ROUTES))], o.airport_parents(spark.createDataFrame([(5, None, None, day(95), "")], AIRPORTS)), 10, path=str(tmp_path / "s"))
     assert found(state) == {(k, "src") for k in range(95, 100)}
-    plan = state._table("log", o._LOG).where(F.col("at_us") >= 5)._jdf.queryExecution().executedPlan().toString()
+    plan = state._table("log/routes", ONLY_SRC.schema).where(F.col("at_us") >= 5)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(at_us,5)" in plan
