@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from horograph.runtime import materialize
+from horograph.runtime import materialize, tasks_of
 
-#: Chunks wanted at most, and the fewest rows worth a chunk.
-CHUNKS, LEAST_ROWS = 4096, 1_000
+#: Chunks wanted for each task of a shuffle and at least, and the fewest rows worth a chunk.
+TASK_CHUNKS, LEAST_CHUNKS, LEAST_ROWS = 4, 64, 1_000
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,13 +53,13 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local)], names=[*b.schema.names, "local"])
 
 
-def number_rows(df: DataFrame, key: str, payload: list[str], chunks: int = CHUNKS, least_rows: int = LEAST_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, key: str, payload: list[str], chunks: int | None = None, least_rows: int = LEAST_ROWS) -> DataFrame:
     """(key, *payload, number, chunk) for a bigint ``key``; ``number`` and ``chunk`` are 0 for keys of at most one chunk."""
     rows = materialize(df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), *payload))
     pid = F.spark_partition_id().alias("pid")
     counts = materialize(rows.groupBy(pid, key).agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    size = max(least_rows, -(-total // chunks))
+    size = max(least_rows, -(-total // (chunks or max(LEAST_CHUNKS, TASK_CHUNKS * tasks_of(df)))))
     heavy = counts.groupBy(key).agg(F.sum("n").alias("all")).where(F.col("all") > size).select(key)
     offsets = (
         counts.join(F.broadcast(heavy), key, "left_semi")
@@ -104,7 +104,7 @@ def edge_ends(edges: DataFrame) -> DataFrame:
     return pairs.select("net_id", "seen_at", F.explode(ends).alias("e")).select("e.node_id", "net_id", "e.other", "seen_at")
 
 
-def degrees(edges: DataFrame, chunks: int = CHUNKS, least_rows: int = LEAST_ROWS) -> DataFrame:
+def degrees(edges: DataFrame, chunks: int | None = None, least_rows: int = LEAST_ROWS) -> DataFrame:
     """(node_id, degree, last_seen, chunks): distinct edges of a node over all networks."""
     numbered = number_rows(edge_ends(edges), "node_id", ["seen_at"], chunks, least_rows)
     return reduce_chunks(

@@ -47,3 +47,9 @@ def test_ordered_merge(spark):
 def test_empty(spark):
     got = h.degrees(edges(spark, []))
     assert got.count() == 0 and h.dominating(got).count() == 0
+
+
+def test_small_tables_are_chunked_too(spark):
+    rows = [(k % 7, 1, 10 + k // 7) for k in range(7 * 400)] + [(8, 100 + k, 101 + k) for k in range(300)]
+    got = {r["node_id"]: (r["degree"], r["chunks"]) for r in h.degrees(edges(spark, rows).repartition(3)).collect()}
+    assert got[1] == (2800, 3) and got[10] == (7, 1)
