@@ -19,7 +19,7 @@ def test_degrees_with_a_hot_node(spark):
     rows += [(None, 1, 2), (0, None, 3), (0, 7, 7)]
     pairs = {(n, min(a, b), max(a, b)) for n, a, b in rows if None not in (n, a, b) and a != b}
     want = Counter(x for _, a, b in pairs for x in (a, b))
-    got = h.degrees(edges(spark, rows).repartition(5), least_rows=10)
+    got = h.degrees(edges(spark, rows).repartition(5), chunks=4096, least_rows=10)
     assert {r["node_id"]: r["degree"] for r in got.collect()} == dict(want)
     assert got.agg(F.max("chunks")).first()[0] > 3
     top = {r["node_id"] for r in h.dominating(got).collect()}
