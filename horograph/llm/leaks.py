@@ -2,19 +2,32 @@
 
 A shard is a block of documents of about ``block_words`` words.  Its words are
 written as ids of the words of the test items (any other word is 0) and indexed
-(``fm_index``).  All phrases of ``seed`` words of the items are backward-searched,
-their occurrences located from sampled suffix positions, and gathered per
-document and item: the score is the share of the item's words covered by
+(``fm_index``).  All phrases of ``seed`` words of the items are backward-searched
+and their occurrences located from sampled suffix positions, once each.
+
+An item can only be leaked by a document that holds enough of its phrases, so a
+document must hold one of its rarer phrases: all but the few most frequent ones
+in the block.  Only documents that do are looked at, and only there the frequent
+phrases are added, so a stock phrase of many items costs nothing.  Items are
+taken in slices of about ``SLICE`` occurrences; one item never has more than the
+block has words, times the places of a phrase in it.
+
+The score of a document and an item is the share of the item's words covered by
 occurrences whose offset between document and item lies in a narrow band, which
 inserted or lost words shift only little.  Where that share reaches ``FIRST``,
 an exact check compares the words of item and document at every offset of the
-band and counts the item's words in equal runs of at least ``RUN`` words.  A
-passage of half an item with one word in eight changed covers well over a third
-of it so, a quarter of an item together with shared turns of phrase less.
+band and counts the item's words in equal runs of at least ``RUN`` words.
+
+The bounds follow from what a leak is: half of the item, one word in eight
+changed.  A word then stands in an equal run of three or more with probability
+7/8 * (1 - (1/8)^2 * (1 + 2 * 7/8)) = 0.83, so such a passage covers 0.42 of the
+item in expectation, and a quarter of an item at most 0.25; ``SHARE`` = 0.36
+lies between.  In runs of five or more, as the index sees them, a word stands
+with probability 0.77, which makes 0.38 of the item; ``FIRST`` is half of that.
 
-The items are the one broadcast: they are a fixed test set, and its number of
-words is checked against ``MAX_ITEM_WORDS``.  A document longer than a block is
-cut into pieces that overlap by twice the longest item.
+The items are broadcast in groups of about ``GROUP_CHARS`` characters, each one
+pass over the documents.  A document longer than a block is cut into pieces that
+overlap by twice the longest item.
 
 Defined results: null and empty texts leak nothing; an item of fewer than
 ``seed`` words is never found; equal documents and equal items are each
@@ -24,6 +37,7 @@ reported; empty tables give no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +48,7 @@ from horograph.llm.fm_index import FMIndex, phrase_steps
 from horograph.llm.text import WordIds, words
 
 SEED, FIRST, RUN, SHARE, BLOCK_WORDS = 5, 0.18, 3, 0.36, 800_000
-MAX_ITEM_WORDS = 20_000_000
+SLICE, GROUP_CHARS = 4_000_000, 8_000_000
 SCHEMA = "doc_id bigint, item_id bigint, share double, first_word bigint, last_word bigint"
 
 
@@ -53,13 +67,12 @@ class Phrases:
         every = np.array([ids[n][p : p + seed] for n, p in place], np.int64).reshape(-1, seed)
         phrases, of = np.unique(every, axis=0, return_inverse=True)
         of = of.ravel()
-        order = np.argsort(of, kind="stable")
         self.count = len(phrases)
         self.steps = phrase_steps(phrases) if len(phrases) else []
-        # phrase -> its places (item, position), as compressed rows
-        self.first = np.searchsorted(of[order], np.arange(len(phrases) + 1))
-        self.item = np.array([n for n, _ in place], np.int64)[order] if place else np.zeros(0, np.int64)
-        self.at = np.array([p for _, p in place], np.int64)[order] if place else np.zeros(0, np.int64)
+        # item by item the phrase at each of its places
+        self.phrase = of
+        self.at = np.array([p for _, p in place], np.int64) if place else np.zeros(0, np.int64)
+        self.first = np.searchsorted(np.array([n for n, _ in place], np.int64), np.arange(len(ids) + 1)) if place else np.zeros(len(ids) + 1, np.int64)
 
 
 def _repeat_ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -109,6 +122,48 @@ def _exact(item: np.ndarray, doc: np.ndarray, low: int, run: int) -> tuple[float
     return float(cover.any(axis=0).mean()), int(at[cover].min()), int(at[cover].max())
 
 
+def _slices_of(weight: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of items with together at most ``most`` occurrences, or of one item."""
+    out, start, held = [], 0, 0
+    for n, w in enumerate(weight.tolist()):
+        if held and held + w > most:
+            out.append((start, n))
+            start, held = n, 0
+        held += w
+    return [*out, (start, len(weight))] if len(weight) > start else out
+
+
+def _rows_of(item: int, phrases: Phrases, first: np.ndarray, doc: np.ndarray, starts: np.ndarray, spot: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the occurrences, position in the item) of the phrases of an item in the documents that hold one of its rarer phrases.
+
+    ``first`` are the bounds of the occurrences of each phrase in ``spot``,
+    which are in order, and ``doc`` the documents they lie in.
+    """
+    own = slice(phrases.first[item], phrases.first[item + 1])
+    phrase, at = phrases.phrase[own], phrases.at[own]
+    often = first[phrase + 1] - first[phrase]
+    # a document needs that many places; without the most frequent ones but one it holds one of the others
+    late = np.zeros(len(phrase), bool)
+    spare = -(-need // phrases.seed) - 1
+    if spare > 0:
+        late[np.argsort(often, kind="stable")[len(phrase) - spare :]] = True
+    late &= often > 0
+    early = ~late & (often > 0)
+    rows = _repeat_ranges(first[phrase[early]], first[phrase[early] + 1])
+    where = np.repeat(at[early], often[early])
+    if not len(rows) or not late.any():
+        return rows, where
+    held = np.unique(doc[rows])
+    low, high = starts[held], np.r_[starts[1:], spot.max() + 1][held]
+    parts, places = [rows], [where]
+    for p, x in zip(phrase[late], at[late]):
+        inside = spot[first[p] : first[p + 1]]
+        more = first[p] + _repeat_ranges(np.searchsorted(inside, low), np.searchsorted(inside, high))
+        parts.append(more)
+        places.append(np.full(len(more), x))
+    return np.concatenate(parts), np.concatenate(places)
+
+
 def _search_block(seq: np.ndarray, starts: np.ndarray, phrases: Phrases, share: float) -> list[tuple[int, int, float, int, int]]:
     """(document index in the block, item, share, first word, last word)."""
     index = FMIndex(seq, len(phrases.vocabulary) + 1)
@@ -116,31 +171,36 @@ def _search_block(seq: np.ndarray, starts: np.ndarray, phrases: Phrases, share:
     live = np.flatnonzero(lo < hi)
     if not len(live):
         return []
-    where = index.locate(_repeat_ranges(lo[live], hi[live]))
-    phrase = np.repeat(live, (hi - lo)[live])
-    doc = np.searchsorted(starts, where, side="right") - 1
-    places = phrases.first[phrase + 1] - phrases.first[phrase]
-    place = _repeat_ranges(phrases.first[phrase], phrases.first[phrase + 1])
-    item, at = phrases.item[place], phrases.at[place]
-    doc, word = np.repeat(doc, places), np.repeat(where - starts[doc], places)
-    key = doc * len(phrases.length) + item
+    # a position begins one phrase, so all occurrences together are no more than the words of the block
+    spot = index.locate(_repeat_ranges(lo[live], hi[live]))
+    spot = spot[np.lexsort((spot, np.repeat(live, (hi - lo)[live])))]
+    first = np.r_[0, np.cumsum(hi - lo)]
+    doc = np.searchsorted(starts, spot, side="right") - 1
     need = np.ceil(min(FIRST, share) * phrases.length).astype(np.int64)
-    # an item's phrases that occur bound what they can cover
-    _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-    keep = np.flatnonzero(count[inverse] * phrases.seed >= need[item])
-    keep = keep[np.argsort(key[keep], kind="stable")]
+    often = np.r_[0, np.cumsum((first[1:] - first[:-1])[phrases.phrase])]
+    weight = often[phrases.first[1:]] - often[phrases.first[:-1]]
     out = []
-    cuts = np.flatnonzero(np.r_[True, key[keep][1:] != key[keep][:-1]]) if len(keep) else []
-    for s, e in zip(cuts, np.r_[cuts[1:], len(keep)] if len(keep) else []):
-        k = keep[s:e]
-        d, i = int(doc[k[0]]), int(item[k[0]])
-        length = int(phrases.length[i])
-        covered, low = _best_band(word[k] - at[k], at[k], length, phrases.seed, int(need[i]))
-        if covered >= need[i]:
-            end = starts[d + 1] if d + 1 < len(starts) else len(seq)
-            found, a, b = _exact(phrases.words[i], seq[starts[d] : end], low, RUN)
-            if found >= share:
-                out.append((d, i, found, a, b))
+    for low, high in _slices_of(weight, SLICE):
+        found = [(i, *_rows_of(i, phrases, first, doc, starts, spot, int(need[i]))) for i in range(low, high) if weight[i] * phrases.seed >= need[i]]
+        if not found:
+            continue
+        item = np.concatenate([np.full(len(r), i) for i, r, _ in found])
+        row, at = np.concatenate([r for _, r, _ in found]), np.concatenate([a for _, _, a in found])
+        key = doc[row] * len(phrases.length) + item
+        # an item's phrases that occur bound what they can cover
+        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep = np.flatnonzero(count[inverse] * phrases.seed >= need[item])
+        keep = keep[np.argsort(key[keep], kind="stable")]
+        cuts = np.flatnonzero(np.r_[True, key[keep][1:] != key[keep][:-1]]) if len(keep) else []
+        for s, e in zip(cuts, np.r_[cuts[1:], len(keep)] if len(keep) else []):
+            k = keep[s:e]
+            d, i = int(doc[row[k[0]]]), int(item[k[0]])
+            covered, band = _best_band(spot[row[k]] - starts[d] - at[k], at[k], int(phrases.length[i]), phrases.seed, int(need[i]))
+            if covered >= need[i]:
+                end = starts[d + 1] if d + 1 < len(starts) else len(seq)
+                part, a, b = _exact(phrases.words[i], seq[starts[d] : end], band, RUN)
+                if part >= share:
+                    out.append((d, i, part, a, b))
     return out
 
 
@@ -186,19 +246,20 @@ def _finder(shared, share: float, block_words: int):
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, share: float = SHARE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, seed: int = SEED, share: float = SHARE, block_words: int = BLOCK_WORDS, group_chars: int = GROUP_CHARS) -> DataFrame:
     """(doc_id, item_id, share, first_word, last_word) for every document that reproduces at least about half of an item."""
     spark = docs.sparkSession
     test = items.where(F.col("item_id").isNotNull() & F.col("item_text").isNotNull()).select("item_id", "item_text")
-    size = test.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    if size > 5 * MAX_ITEM_WORDS:
-        raise ValueError(f"the test items hold {size} characters: search them in several calls")
-    shared = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["item_text"]) for r in test.orderBy("item_id").collect()], seed))
+    groups = max(1, -(-int(test.agg(F.sum(F.length("item_text"))).first()[0] or 0) // group_chars))
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
-    found = texts.mapInArrow(_finder(shared, share, block_words), SCHEMA)
+    found = []
+    for g in range(groups):
+        own = test.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == g)
+        shared = spark.sparkContext.broadcast(Phrases([(r["item_id"], r["item_text"]) for r in own.orderBy("item_id").collect()], seed))
+        found.append(texts.mapInArrow(_finder(shared, share, block_words), SCHEMA))
     # a passage in the overlap of two pieces is found twice
     best = F.max_by(F.struct("first_word", "last_word"), F.col("share"))
-    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), best.alias("b")).select("doc_id", "item_id", "share", "b.first_word", "b.last_word")
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("share").alias("share"), best.alias("b")).select("doc_id", "item_id", "share", "b.first_word", "b.last_word")
 
 
 def removal_spans(leaks: DataFrame) -> DataFrame:

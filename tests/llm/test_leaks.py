@@ -91,3 +91,47 @@ def test_empty(spark):
     assert leaks.find_leaks(d, i).count() == 0
     assert leaks.find_leaks(spark.createDataFrame([(1, "a b", "", 0)], DOCS), i).count() == 0
     assert leaks.removal_spans(leaks.find_leaks(d, spark.createDataFrame([(1, "a b c d e f", "")], ITEMS))).count() == 0
+
+
+def test_items_in_groups_are_all_found(spark):
+    items = [(k, passage(100)) for k in range(9)]
+    docs = spark.createDataFrame([(k, " ".join(passage(40) + w), "", 0) for k, w in items], DOCS)
+    found = leaks.find_leaks(docs, spark.createDataFrame([(k, " ".join(w), "") for k, w in items], ITEMS), group_chars=1500)
+    assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(k, k) for k in range(9)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_stock_phrases_lose_no_leak_and_cost_little(seed, monkeypatch):
+    """Items that share stock phrases; the search from rare phrases gives what a look at every pair gives."""
+    r = random.Random(seed)
+    words_of = lambda n: [r.choice(VOCAB[:400]) for _ in range(n)]
+    stock = [words_of(7) for _ in range(4)]
+    item = lambda: sum([words_of(r.randrange(8, 20)) + r.choice(stock) for _ in range(7)], [])
+    items = [(k, " ".join(item())) for k in range(15)]
+    phrases = leaks.Phrases(items, 5)
+    docs = []
+    for k in range(60):
+        w = items[r.randrange(15)][1].split()
+        h = r.randrange(0, len(w) // 2)
+        piece = changed(w[h : h + len(w) // 2 + 4], 0.1, seed * 100 + k) if k % 3 == 0 else w[h : h + len(w) // 4]
+        docs.append(sum(stock * 3, []) + piece + words_of(30) + r.choice(stock))
+    seqs = [np.array([phrases.vocabulary.get(x, 0) for x in d] + [0]) for d in docs]
+    starts = np.cumsum([0, *map(len, seqs)])[:-1]
+    got = leaks._search_block(np.concatenate(seqs), starts, phrases, leaks.SHARE)
+    want = []
+    for d, s in enumerate(seqs):
+        places = {}
+        for q in range(len(s) - 5):
+            places.setdefault(tuple(s[q : q + 5].tolist()), []).append(q)
+        for i, t in enumerate(phrases.words):
+            at = [(p, q) for p in range(len(t) - 4) for q in places.get(tuple(t[p : p + 5].tolist()), [])]
+            need = int(np.ceil(leaks.FIRST * len(t)))
+            if len(at) * 5 < need:
+                continue
+            p, q = np.array(at).T
+            covered, band = leaks._best_band(q - p, p, len(t), 5, need)
+            if covered >= need and (x := leaks._exact(t, s, band, leaks.RUN))[0] >= leaks.SHARE:
+                want.append((d, i, *x))
+    assert sorted(got) == sorted(want) and len(want) >= 15
+    monkeypatch.setattr(leaks, "SLICE", 50)
+    assert sorted(leaks._search_block(np.concatenate(seqs), starts, phrases, leaks.SHARE)) == sorted(want)
