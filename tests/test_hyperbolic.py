@@ -132,15 +132,6 @@ def test_optimiser_lowers_the_loss(chart):
     assert h[-1] < 0.3 * h[0]
 
 
-def test_distributed_steps_equal_local_ones(spark):
-    r, v, problems = _problem(3, 23)
-    loss, target = problems["kl"]
-    rows = spark.createDataFrame([(k, list(range(23)), target[k].tolist()) for k in range(23)], "pos bigint, cols array<int>, vals array<double>")
-    far = optimizer.optimize(optimizer.DistributedTargets(rows, 23, 5), r, v, loss, steps=4, spark=spark)
-    near = optimizer.optimize(target, r, v, loss, steps=4)
-    assert np.allclose(far.history, near.history) and np.allclose(far.r, near.r) and np.allclose(far.v, near.v)
-
-
 def test_dense_kernels():
     rng = np.random.default_rng(2)
     a = np.triu(rng.random((8, 8)), 1)

@@ -3,7 +3,7 @@ import pytest
 from graphs import EDGES
 from pyspark.sql import functions as F
 
-from horograph.operators import embedders, optimizer, parameters
+from horograph.operators import dense, embedders, optimizer, parameters
 from horograph.plans import models
 
 FITTED = ["poincare_maps", "poincare_embeddings", "poincare_embeddings_fermi_dirac", "lorentz_embeddings", "hydra_plus", "hypermap", "dmercator"]
@@ -72,14 +72,34 @@ def test_joint_query_hides_pairs_of_every_network(spark, folder):
     assert {o["net_id"] for o in out} == {1, 2} and all(0 < o["w"] < 1 for o in out)
 
 
-def test_closed_form_of_the_weight_gradient():
+def test_closed_forms_of_the_weight_gradient():
+    from horograph.operators import optimizer
+
     rng = np.random.default_rng(0)
     v = rng.normal(size=(12, 2))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     r, a = rng.uniform(0.5, 3, 12), np.triu(rng.random((12, 12)), 1)
     a, i, j = a + a.T, np.array([0, 3, 7]), np.array([5, 4, 11])
-    m = embedders.PoincareEmbeddings(loss="fermi_dirac", r=1.5, t=0.7)
-    assert np.allclose(m.weight_gradient(a, i, j, r, v), embedders.Embedder.weight_gradient(m, a, i, j, r, v), atol=1e-5)
+    for m in (embedders.PoincareEmbeddings(loss="fermi_dirac", r=1.5, t=0.7), embedders.PoincareMaps(gamma=0.8)):
+        want = []
+        for x, y in zip(i, j):
+            value = []
+            for s in (1e-5, -1e-5):
+                b = a.copy()
+                b[x, y] += s
+                b[y, x] += s
+                value.append(optimizer.block_gradient(np.arange(12), r, v, m.target(b), m.loss(12))[0])
+            want.append((value[0] - value[1]) / 2e-5)
+        assert np.allclose(m.weight_gradient(a, i, j, r, v), want, rtol=1e-4, atol=1e-5)
+    # ranking: linear in the weight, from both ends, with negatives that are no neighbours
+    m = embedders.PoincareEmbeddings(n_negatives=4000)
+    a[a < 0.6] = 0
+    d = dense.polar_matrix(r, v)
+    a[i, j] = a[j, i] = 0.5
+    mean = [np.exp(-d[k])[(a[k] == 0) & (np.arange(12) != k)].mean() * 4000 for k in range(12)]
+    want = [2 * d[x, y] + np.log(np.exp(-d[x, y]) + mean[x]) + np.log(np.exp(-d[x, y]) + mean[y]) for x, y in zip(i, j)]
+    assert np.allclose(m.weight_gradient(a, i, j, r, v), want, rtol=0.02)
+    assert (embedders.LorentzEmbeddings().weight_gradient(a, i, j, r, v) == 0).all()
 
 
 @pytest.mark.parametrize("below", [False, True])
