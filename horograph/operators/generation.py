@@ -21,9 +21,27 @@ from horograph.runtime import materialize
 SLOPES = (1e-6, 1e3)
 
 
+#: Modulus and multipliers of the draws: a prime below 2^31, so every step stays within 64 bits in any engine.
+PRIME, MULTIPLIER, LINEAR = 2147483647, 48271, 69621
+
+
 def uniform(*key: Column) -> Column:
-    """A number in [0, 1) from a hash of the key."""
-    return F.pmod(F.xxhash64(*key), F.lit(1 << 52).cast("bigint")) / float(1 << 52)
+    """A number in [0, 1) from whole numbers, by quadratic steps modulo a prime."""
+    m, square = F.lit(PRIME).cast("bigint"), F.lit(-1).cast("bigint")
+    # one fold over keys and marks, so the expression grows with the keys only
+    steps = F.array(*[e for k in key for e in (F.pmod(k.cast("bigint"), m), square, square)])
+    x = F.aggregate(steps, F.lit(PRIME // 3).cast("bigint"), lambda x, e: F.pmod(F.when(e < 0, x * x + x * LINEAR + 1).otherwise(x * MULTIPLIER + e + 1), m))
+    return x / float(PRIME)
+
+
+def uniform_sql(*key: str) -> str:
+    """The same draw in SQL."""
+    x = f"CAST({PRIME // 3} AS BIGINT)"
+    for k in key:
+        x = f"(({x} * {MULTIPLIER} + ((CAST({k} AS BIGINT) % {PRIME}) + {PRIME}) % {PRIME} + 1) % {PRIME})"
+        for _ in range(2):
+            x = f"list_transform([{x}], lambda z: (z * z + z * {LINEAR} + 1) % {PRIME})[1]"
+    return f"({x} / {PRIME}.0)"
 
 
 def threshold_graph(pairs: DataFrame, links: int) -> DataFrame:

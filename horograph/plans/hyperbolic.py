@@ -54,6 +54,9 @@ deg AS (SELECT node_id, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS n
 """
 
 
+PAIRS, ROUTE_GRAPH = _PAIRS, _RG
+
+
 def _coords(df: DataFrame, c: str) -> DataFrame:
     """First two coordinates and the sum of all, rounded."""
     x = F.col(c)
@@ -606,31 +609,41 @@ def hypermap_temperature(spark, d):
     return spark.createDataFrame([(t,)], "temperature double")
 
 
-@catalog.add(
-    "hop_distances",
-    _RG.replace("WITH rg", "WITH RECURSIVE rg")
-    + """, b AS (SELECT src, dst FROM rg UNION ALL SELECT dst, src FROM rg), h AS (SELECT node_id FROM deg ORDER BY degree DESC, node_id LIMIT 3),
- r(source, node_id, hops) AS (SELECT node_id, node_id, 0 FROM h UNION SELECT r.source, b.dst, r.hops + 1 FROM r JOIN b ON b.src = r.node_id WHERE r.hops < 30)
- SELECT source, node_id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY 1, 2""",
+# both directions, and labels or hops that only ever fall
+_BOTH = _RG.replace("WITH rg", "WITH RECURSIVE rg") + ", b AS (SELECT src, dst FROM rg UNION ALL SELECT dst, src FROM rg)"
+_HOPS = (
+    _BOTH
+    + """, r(source, node_id, hops) USING KEY (source, node_id) AS (SELECT node_id, node_id, 0 FROM deg
+ UNION SELECT r.source, b.dst, min(r.hops) + 1 FROM r JOIN b ON b.src = r.node_id ANTI JOIN recurring.r AS o ON o.source = r.source AND o.node_id = b.dst GROUP BY r.source, b.dst)
+"""
 )
-def hop_distances(spark, d):
-    e = materialize(rg(spark, d))
-    hubs = graph.degrees(e).orderBy(F.desc("degree"), "node_id").limit(3)
-    return graph.hop_distances(e, hubs)
 
 
-@catalog.add("hop_distances_all")
-def hop_distances_all(spark, d):
-    """The shortest paths between all pairs; ``hop_distances`` has those of the three hubs, as its SQL does."""
-    return graph.all_hop_distances(rg(spark, d))
+def components_sql(both: str, nodes: str, name: str = "c") -> str:
+    """A recursive table (node_id, component) over the columns src and dst of ``both``."""
+    return f"""{name}(node_id, component) USING KEY (node_id) AS (SELECT node_id, node_id FROM {nodes}
+ UNION SELECT x.dst, min({name}.component) FROM {name} JOIN {both} x ON x.src = {name}.node_id JOIN recurring.{name} AS o ON o.node_id = x.dst WHERE {name}.component < o.component GROUP BY x.dst)"""
 
 
-@catalog.add("connected_components")
+@catalog.add("hop_distances", _HOPS + "SELECT source, CAST(hops AS INTEGER) AS hops, CAST(count(*) AS BIGINT) AS nodes, CAST(sum(node_id) AS BIGINT) AS id_sum FROM r GROUP BY 1, 2")
+def hop_distances(spark, d):
+    """The hops between all pairs, as the nodes that every node reaches in so many hops: their number and the sum of their ids."""
+    return graph.all_hop_distances(rg(spark, d)).groupBy("source", "hops").agg(F.count(F.lit(1)).alias("nodes"), F.sum("node_id").alias("id_sum"))
+
+
+@catalog.add("connected_components", _BOTH + ", " + components_sql("b", "deg") + " SELECT node_id, component FROM c")
 def connected_components(spark, d):
     return graph.connected_components(rg(spark, d))
 
 
-@catalog.add("giant_component_filter")
+@catalog.add(
+    "giant_component_filter",
+    _SPLIT.replace("WITH rg", "WITH RECURSIVE rg")
+    + ", b AS (SELECT src, dst FROM sp WHERE part = 'E' UNION ALL SELECT dst, src FROM sp WHERE part = 'E'), n AS (SELECT DISTINCT src AS node_id FROM b), "
+    + components_sql("b", "n")
+    + """, t AS (SELECT component FROM c GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1), g AS (SELECT node_id FROM c JOIN t USING (component))
+ SELECT src, dst, part FROM sp WHERE src IN (SELECT node_id FROM g) AND dst IN (SELECT node_id FROM g)""",
+)
 def giant_component_filter(spark, d):
     split = materialize(links.split_edges(rg(spark, d)))
     train = links.training_graph(split)
@@ -644,4 +657,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.roc_auc(c, higher_is_link=False).crossJoin(ranking.hits_at(c, 20, higher_is_link=False)).crossJoin(ranking.precision_recall_f1(c, higher_is_link=False))
 
 
-__all__ = ["EMB", "TRIANGLES", "catalog", "emb", "flagship", "label_graph", "rg"]
+__all__ = ["EMB", "PAIRS", "ROUTE_GRAPH", "TRIANGLES", "catalog", "emb", "flagship", "label_graph", "rg"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from horograph.operators import curvature, dense, embedders, evaluation, generation, graph, links, pairs
 from horograph.plans import data_quality
 from horograph.plans.catalog import Catalog
-from horograph.plans.hyperbolic import EMB, TRIANGLES, emb, rg
+from horograph.plans.hyperbolic import EMB, PAIRS, ROUTE_GRAPH, TRIANGLES, emb, rg
 from horograph.runtime import checkpoint_dir, materialize, table
 from horograph.sources.route_lines import parse_routes
 from horograph.streaming import deltas
@@ -52,11 +53,12 @@ def delta_batch_apply(spark, d):
     return deltas.current_edges(deltas.last_changes(table(spark, d, "graph_deltas")))
 
 
-@catalog.add("forest_matrix")
+@catalog.add("forest_matrix", ROUTE_GRAPH + "SELECT node_id AS i, 1.0::DOUBLE AS total, TRUE AS own_is_largest, TRUE AS in_range FROM deg")
 def forest_matrix(spark, d):
-    """The matrix by rows: its diagonal, its largest other entry and its sum, which is 1."""
+    """What holds for every row of the matrix: its sum is 1, its diagonal is its largest entry, no entry is below 0."""
     own = F.col("i") == F.col("j")
-    return dense.forest_matrix(rg(spark, d)).groupBy("i").agg(F.max(F.when(own, F.col("q"))).alias("own"), F.max(F.when(~own, F.col("q"))).alias("largest_other"), F.sum("q").alias("total"))
+    rows = dense.forest_matrix(rg(spark, d)).groupBy("i").agg(F.max(F.when(own, F.col("q"))).alias("own"), F.max(F.when(~own, F.col("q"))).alias("other"), F.min("q").alias("least"), F.round(F.sum("q"), 9).alias("total"))
+    return rows.select("i", "total", (F.col("own") > F.col("other")).alias("own_is_largest"), (F.col("least") > -1e-12).alias("in_range"))
 
 
 @catalog.add("hydra_embedding")
@@ -64,9 +66,10 @@ def hydra_embedding(spark, d):
     return dense.hydra_embedding(graph.largest_component(materialize(rg(spark, d))))
 
 
-@catalog.add("laplacian_eigenmaps")
+@catalog.add("laplacian_eigenmaps", ROUTE_GRAPH + "SELECT node_id, 1.0::DOUBLE AS norm FROM deg")
 def laplacian_eigenmaps(spark, d):
-    return dense.eigenmaps(rg(spark, d), 2)
+    """The norm of every place, which is 1."""
+    return dense.eigenmaps(rg(spark, d), 2).select("node_id", F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)), 9).alias("norm"))
 
 
 @catalog.add("adjacency_spectral")
@@ -91,21 +94,21 @@ def balanced_tree(spark, d):
 
 @catalog.add(
     "transitive_closure",
-    "WITH RECURSIVE c(child, ancestor) AS (SELECT i, (i - 1) // 2 FROM range(1, 31) t(i) UNION SELECT child, (ancestor - 1) // 2 FROM c WHERE ancestor > 0) SELECT CAST(child AS BIGINT) AS child, CAST(ancestor AS BIGINT) AS ancestor FROM c",
+    """WITH RECURSIVE e AS (SELECT DISTINCT net_id, least(src, dst) AS child, greatest(src, dst) AS parent FROM network_edges WHERE net_id IS NOT NULL AND src <> dst),
+ c(net_id, child, ancestor) AS (SELECT net_id, child, parent FROM e UNION SELECT c.net_id, c.child, e.parent FROM c JOIN e ON e.net_id = c.net_id AND e.child = c.ancestor)
+ SELECT net_id, child, ancestor FROM c""",
 )
 def transitive_closure(spark, d):
-    return graph.transitive_closure(_tree(spark), "dst", "src")
-
-
-@catalog.add("transitive_closure_networks")
-def transitive_closure_networks(spark, d):
     """(net_id, child, ancestor): the closure of every network, its edges pointing to the larger id."""
     node = lambda c: F.struct("net_id", F.col(c).alias("node_id")).alias(c)
     c = graph.transitive_closure(_networks(spark, d).select(node("src"), node("dst")))
     return c.select("child.net_id", F.col("child.node_id").alias("child"), F.col("ancestor.node_id").alias("ancestor"))
 
 
-@catalog.add("fermi_dirac_sample")
+@catalog.add(
+    "fermi_dirac_sample",
+    PAIRS + f", g AS (SELECT unnest([0, 1]) AS graph_id) SELECT CAST(graph_id AS INTEGER) AS graph_id, i, j FROM p, g WHERE {generation.uniform_sql('i', 'j', 'graph_id', '0')} < 1 / (exp((d - 2.0) / 0.5) + 1)",
+)
 def fermi_dirac_sample(spark, d):
     return generation.fermi_dirac_sample(pairs.polar_distances(emb(spark, d)), 2.0, 0.5, 2)
 
@@ -117,9 +120,12 @@ def fermi_dirac_fit(spark, d):
     return spark.createDataFrame([(f["r"], f["t"], f["nll"])], "r double, t double, nll double")
 
 
-@catalog.add("uniform_hyperbolic_disk")
+@catalog.add(
+    "uniform_hyperbolic_disk",
+    f"SELECT i AS node_id, round(acosh(1 + {generation.uniform_sql('i', '0', '0')} * ({math.cosh(6.0)!r} - 1)), 9) AS r, round(2 * pi() * {generation.uniform_sql('i', '0', '1')}, 9) AS theta FROM range(1000) t(i)",
+)
 def uniform_hyperbolic_disk(spark, d):
-    return generation.uniform_hyperbolic_disk(spark, 1000, 6.0)
+    return generation.uniform_hyperbolic_disk(spark, 1000, 6.0).select("node_id", F.round("r", 9).alias("r"), F.round("theta", 9).alias("theta"))
 
 
 @catalog.add("poincare_maps")
@@ -132,6 +138,13 @@ def poincare_embeddings(spark, d):
     return _fitted(spark, d, embedders.PoincareEmbeddings(lr=0.05))
 
 
+@catalog.add("poincare_embeddings_routes")
+def poincare_embeddings_routes(spark, d):
+    """The whole route graph with the default steps and negatives, over gathered pairs; the loss of the first and the last step beside the coordinates."""
+    f = embedders.PoincareEmbeddings(lr=0.05).fit(graph.unweighted(materialize(rg(spark, d))))
+    return f.coordinates.select("*", F.lit(f.history[0]).alias("first_loss"), F.lit(f.history[-1]).alias("last_loss"))
+
+
 @catalog.add("poincare_embeddings_fermi_dirac")
 def poincare_embeddings_fermi_dirac(spark, d):
     return _fitted(spark, d, embedders.PoincareEmbeddings(loss="fermi_dirac", lr=0.05))

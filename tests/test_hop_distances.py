@@ -38,9 +38,11 @@ def test_every_node_is_a_source(spark, folder, monkeypatch, joins):
     d, pairs = folder
     if joins:
         monkeypatch.setattr(graph, "HOP_EDGES", 0)
-    out = hyperbolic.catalog.queries["hop_distances_all"](spark, d).collect()
+    out = graph.all_hop_distances(hyperbolic.rg(spark, d)).collect()
     got = {(o["source"], o["node_id"]): o["hops"] for o in out}
     assert len(out) == len(got) and got == brute(pairs) and max(got.values()) == 44
+    per = {(o["source"], o["hops"]): (o["nodes"], o["id_sum"]) for o in hyperbolic.catalog.queries["hop_distances"](spark, d).collect()}
+    assert per == {(s, h): (len(at := [y for (x, y), k in got.items() if (x, k) == (s, h)]), sum(at)) for (s, _), h in got.items()}
 
 
 def test_search_ends_when_nothing_is_new(spark):

@@ -131,7 +131,7 @@ def test_growth_arrays_equal_growth_radii(spark):
 
 
 def test_closure_of_networks(spark, folder):
-    got = {tuple(o) for o in models.catalog.queries["transitive_closure_networks"](spark, folder).collect()}
+    got = {tuple(o) for o in models.catalog.queries["transitive_closure"](spark, folder).collect()}
     want = set()
     for net, edges in ((1, EDGES), (2, RING)):
         up = {}
