@@ -57,6 +57,30 @@ def summary(results: DataFrame) -> DataFrame:
     return results.groupBy("method").agg(F.count(F.lit(1)).alias("seeds"), *[F.avg(c).alias(f"{c}_mean") for c in cols], *[F.stddev_pop(c).alias(f"{c}_std") for c in cols])
 
 
+def compare(edges: DataFrame, methods: dict[str, tuple[Callable[[DataFrame, DataFrame], DataFrame], bool]], seeds: list[int], q: float = 0.9, giant: bool = False) -> DataFrame:
+    """The results of several methods on the same splits; ``methods``: name -> (score, whether a high score means a link)."""
+    splits, out = prepare_splits(materialize(edges), seeds, q, giant), None
+    for name, (score, higher) in methods.items():
+        rows = evaluate(splits, name, score, higher)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("there are no methods to compare")
+    return out
+
+
+def ladder(graphs: dict[str, DataFrame], methods: dict[str, tuple[Callable[[DataFrame, DataFrame], DataFrame], bool]], hyperbolic: str, baseline: str, seeds: list[int], metric: str = "auc") -> DataFrame:
+    """One row per graph: the geometry it shows (mean delta over diameter, curvature) and what ``hyperbolic`` gains over ``baseline`` on it."""
+    out = None
+    for name, edges in graphs.items():
+        gain = advantage(materialize(compare(edges, {m: methods[m] for m in (hyperbolic, baseline)}, seeds, giant=True)), hyperbolic, baseline, metric)
+        d = diagnose(edges, 5_000, 100).select((F.col("mean_delta") / F.greatest("diameter", F.lit(1.0))).alias("delta"), "ricci_mean", "verdict")
+        row = gain.crossJoin(F.broadcast(d)).select(F.lit(name).alias("graph"), "*")
+        out = row if out is None else out.unionByName(row)
+    if out is None:
+        raise ValueError("there are no graphs to compare")
+    return out
+
+
 def advantage(results: DataFrame, method: str, baseline: str, metric: str = "auc") -> DataFrame:
     """Paired by seed: mean and deviation of the gain of ``method`` over ``baseline``, and its wins."""
     a = results.where(F.col("method") == method).select("seed", F.col(metric).alias("a"))
@@ -156,4 +180,4 @@ def chart_errors(spark: SparkSession, radii: list[float], step: float = 1.0) ->
     return df.select("r", err(distances.polar(F.col("r"), v, s, v)).alias("polar"), err(ball).alias("ball"), err(distances.hyperboloid(h(F.col("r")), h(s))).alias("hyperboloid"))
 
 
-__all__ = ["advantage", "chart_errors", "correlations", "diagnose", "disk_coordinates", "embedding_scores", "evaluate", "metrics", "plot_edges", "prepare_splits", "spectral_scores", "summary"]
+__all__ = ["advantage", "chart_errors", "compare", "correlations", "diagnose", "disk_coordinates", "embedding_scores", "evaluate", "ladder", "metrics", "plot_edges", "prepare_splits", "spectral_scores", "summary"]

@@ -89,6 +89,34 @@ def fit_fermi_dirac(pairs: DataFrame, edges: DataFrame, steps: int = 25) -> dict
     return {"r": b / s, "t": 1 / s, "nll": nll}
 
 
+class FermiDirac:
+    """A generator of graphs whose links are independent given the distances of the nodes."""
+
+    def __init__(self, pairs: DataFrame, r: float | None = None, t: float = 1.0) -> None:
+        """``pairs``: (i, j, d) of all nodes; ``r`` is by default their median distance."""
+        self.pairs, self.t = pairs, t
+        self.r = r if r is not None else quantile(pairs, "d", 0.5) or 0.0
+
+    @classmethod
+    def from_embedding(cls, coordinates: DataFrame, r: float | None = None, t: float = 1.0) -> "FermiDirac":
+        """From the coordinates (node_id, r, v) of a fit."""
+        from horograph.operators.pairs import polar_distances
+
+        return cls(materialize(polar_distances(coordinates)), r, t)
+
+    def fit(self, edges: DataFrame) -> "FermiDirac":
+        """The parameters that make ``edges`` most likely; nodes are matched by id."""
+        found = fit_fermi_dirac(self.pairs, edges)
+        self.r, self.t = found["r"], found["t"]
+        return self
+
+    def probabilities(self) -> DataFrame:
+        return self.pairs.select("i", "j", distances.fermi_dirac(F.col("d"), self.r, self.t).alias("p"))
+
+    def sample(self, graphs: int = 1, seed: int = 0) -> DataFrame:
+        return fermi_dirac_sample(self.pairs, self.r, self.t, graphs, seed)
+
+
 def estimate_temperature(pairs: DataFrame, arrival: DataFrame, edges: DataFrame, zeta: float = 1.0, steps: int = 60) -> float:
     """The temperature whose link probabilities fit the edges best, for coordinates that are given.
 

@@ -33,12 +33,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir)[1].select("line_id", "reason")
 
 
+def _plain(k: int) -> str:
+    """The text of a field without its quotes, null for ``\\N``."""
+    return rf"""nullif(CASE WHEN starts_with(v[{k}], '"') THEN replace(substr(v[{k}], 2, len(v[{k}]) - 2), '""', '"') ELSE v[{k}] END, '\N')"""
+
+
+def _whole(k: int, kind: str) -> str:
+    return f"CASE WHEN regexp_full_match(trim({_plain(k)}, ' '), '[+-]?[0-9]{{1,18}}') THEN try_cast(trim({_plain(k)}, ' ') AS {kind}) END"
+
+
 @catalog.add(
     "p1_routes",
-    JUDGED + r"SELECT line_id, CASE WHEN s <> '\N' THEN CAST(s AS BIGINT) END AS src, CASE WHEN d <> '\N' THEN CAST(d AS BIGINT) END AS dst FROM j WHERE reason IS NULL",
+    JUDGED
+    + rf"""SELECT line_id, {_plain(1)} AS airline, {_whole(2, "BIGINT")} AS airline_id, {_plain(3)} AS src_iata, CASE WHEN s <> '\N' THEN CAST(s AS BIGINT) END AS src,
+ {_plain(5)} AS dst_iata, CASE WHEN d <> '\N' THEN CAST(d AS BIGINT) END AS dst, {_plain(7)} AS codeshare, {_whole(8, "INTEGER")} AS stops, {_plain(9)} AS equipment,
+ CAST(CASE WHEN {_plain(2)} IS NOT NULL AND {_whole(2, "BIGINT")} IS NULL THEN 1 ELSE 0 END + CASE WHEN {_plain(8)} IS NOT NULL AND {_whole(8, "INTEGER")} IS NULL THEN 1 ELSE 0 END AS INTEGER) AS untyped
+ FROM j WHERE reason IS NULL""",
 )
 def p1_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parsed(spark, sf_dir)[0].select("line_id", "src", "dst")
+    return _parsed(spark, sf_dir)[0].withColumn("untyped", F.size("untyped"))
 
 
 @catalog.add("p1_reasons", JUDGED + "SELECT reason, CAST(count(*) AS BIGINT) AS lines FROM j WHERE reason IS NOT NULL GROUP BY reason")

@@ -45,7 +45,7 @@ SELECT a AS src, b AS dst, w AS weight FROM n WHERE k = 1 AND op <> 'remove_edge
 def delta_stream_apply(spark, d):
     # a pattern, since a stream source wants one or a folder
     state = deltas.replay(spark, f"{d}/graph_deltas.parque[t]", f"{checkpoint_dir(spark)}/stream-{uuid.uuid4()}")
-    return state.edges(spark)
+    return state.edges()
 
 
 @catalog.add("delta_batch_apply", _LAST)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when a count shows that it has no more rows than this.
 BROADCAST_ROWS = 200_000
+#: And, where its rows hold texts of any length, no more characters than this.
+BROADCAST_CHARS = 32_000_000
 #: A key is hot when it holds more rows than so many tasks have on average.
 HOT_TASKS = 2
 
@@ -39,9 +41,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counts no further than one row beyond."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None) -> bool:
+    """Whether ``df`` has at most ``rows`` rows, counted no further than one beyond, and at most BROADCAST_CHARS characters in the column ``text``."""
+    if df.select(F.lit(1)).limit(rows + 1).count() > rows:
+        return False
+    return text is None or (df.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0) <= BROADCAST_CHARS
 
 
 def tasks_of(df: DataFrame) -> int:

@@ -84,41 +84,52 @@ def value_dictionary(lines: DataFrame) -> DataFrame:
     return distinct.select("field", "value", "n", typed.alias("typed"), fault.alias("fault"))
 
 
+def _number(text: Column, kind: str) -> Column:
+    """A whole number, null for any other text."""
+    t = F.trim(text)
+    return F.when(t.rlike(r"\A[+-]?[0-9]{1,18}\z"), t.cast("bigint").try_cast(kind))
+
+
 def parse_routes(df: DataFrame, id_col: str = "line_id", line_col: str = "raw_line") -> tuple[DataFrame, DataFrame]:
-    """(routes, rejected): typed routes, and ``(line_id, reason, detail)`` for every line that fails."""
+    """(routes, rejected): typed routes, and ``(line_id, reason, detail)`` for every line that fails.
+
+    ``untyped`` of a route names the fields whose text is no number where one is
+    usual; such a line is valid, and the field is null.
+    """
     lines = split_lines(df, id_col, line_col)
     dictionary = materialize(value_dictionary(lines))
-    small = is_small(dictionary)
-    out = lines.where(F.col("structure").isNull())
+    small = is_small(dictionary, text="value")
+    sound = F.col("structure").isNull()
+    out = lines
     for c in CHECKED:
         own = dictionary.where(F.col("field") == c).select(F.col("value").alias(f"{c}_value"), F.col("typed").alias(f"{c}_typed"), F.col("fault").alias(f"{c}_fault"))
-        out = out.withColumn(f"{c}_value", F.trim(F.col("fields")[FIELDS.index(c)]))
+        # a broken line has no value; a key of its own keeps such lines from meeting in one task
+        out = out.withColumn(f"{c}_value", F.when(sound, F.trim(F.col("fields")[FIELDS.index(c)])).otherwise(F.concat(F.lit("\x00"), F.col("id").cast("string"))))
         if small:
             out = out.join(F.broadcast(own), f"{c}_value", "left")
         else:
             out = skew_join(out, own, [f"{c}_value"], "left", hot=hot_keys(out, [f"{c}_value"]))
     faults = F.concat_ws("; ", *[F.when(F.col(f"{c}_fault").isNotNull(), F.concat(F.lit(f"{c}: "), F.col(f"{c}_fault"))) for c in CHECKED])
-    judged = out.withColumn("detail", faults)
+    judged = out.withColumn("detail", F.when(sound, faults))
     text = {f: F.col("fields")[i] for i, f in enumerate(FIELDS)}
     null = lambda c: F.when(c != r"\N", c)
+    numbers = {"airline_id": _number(text["airline_id"], "bigint"), "stops": _number(text["stops"], "int")}
+    untyped = F.array_compact(F.array(*[F.when(null(text[f]).isNotNull() & n.isNull(), F.lit(f)) for f, n in numbers.items()]))
     routes = judged.where(F.col("detail") == "").select(
         F.col("id").alias("line_id"),
         null(text["airline"]).alias("airline"),
-        F.expr("try_cast(trim(fields[1]) AS bigint)").alias("airline_id"),
+        numbers["airline_id"].alias("airline_id"),
         null(text["src_iata"]).alias("src_iata"),
         F.col("src_typed").alias("src"),
         null(text["dst_iata"]).alias("dst_iata"),
         F.col("dst_typed").alias("dst"),
         null(text["codeshare"]).alias("codeshare"),
-        F.expr("try_cast(trim(fields[7]) AS int)").alias("stops"),
+        numbers["stops"].alias("stops"),
         null(text["equipment"]).alias("equipment"),
+        untyped.alias("untyped"),
     )
-    rejected = (
-        lines.where(F.col("structure").isNotNull())
-        .select(F.col("id").alias("line_id"), F.col("structure").alias("reason"), F.lit(None).cast("string").alias("detail"))
-        .unionByName(judged.where(F.col("detail") != "").select(F.col("id").alias("line_id"), F.lit("value").alias("reason"), "detail"))
-    )
-    return routes, rejected
+    failed = judged.where(~sound | (F.col("detail") != ""))
+    return routes, failed.select(F.col("id").alias("line_id"), F.when(sound, "value").otherwise(F.col("structure")).alias("reason"), "detail")
 
 
 __all__ = ["FIELDS", "parse_routes", "split_lines", "value_dictionary"]

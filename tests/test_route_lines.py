@@ -73,14 +73,20 @@ def test_values_are_typed_and_text_is_kept(spark):
     good, _ = parse_routes(spark.createDataFrame([(1, 'A, 7,X," 10 ",Y,\\N,,0,"a,""b\x01a"', "", "", 0)], SCHEMA))
     r = good.first()
     assert (r["airline_id"], r["src"], r["dst"], r["stops"], r["equipment"], r["codeshare"]) == (7, 10, None, 0, 'a,"b\x01a', "")
+    assert r["untyped"] == []
+    other, _ = parse_routes(spark.createDataFrame([(1, "A,n/a,X,1,Y,2,,few,", "", "", 0), (2, "A,\\N,X,1,Y,2,,99999999999,", "", "", 0)], SCHEMA))
+    assert [(r["airline_id"], r["stops"], r["untyped"]) for r in other.orderBy("line_id").collect()] == [(None, None, ["airline_id", "stops"]), (None, None, ["stops"])]
 
 
 def test_hot_values_beyond_the_broadcast_bound(spark, monkeypatch):
     import horograph.sources.route_lines as m
 
-    monkeypatch.setattr(m, "is_small", lambda df, rows=0: False)
+    monkeypatch.setattr(m, "is_small", lambda df, **kw: False)
     rows = [(k, f"A,1,X,{'bad' if k % 3 else k + 1},Y,\\N,,0,", "", "", 0) for k in range(300)]
-    good, bad = m.parse_routes(spark.createDataFrame(rows, SCHEMA))
+    broken = [(1000 + k, 'x"y' if k % 2 else "a,b", "", "", 0) for k in range(60)]
+    good, bad = m.parse_routes(spark.createDataFrame(rows + broken, SCHEMA))
+    assert {r["reason"]: r["count"] for r in bad.groupBy("reason").count().collect()} == {"value": 200, "quoting": 30, "columns": 30}
+    bad = bad.where("reason = 'value'")
     assert bad.count() == 200 and good.count() == 100 and good.agg({"src": "max"}).first()[0] == 298
 
 
