@@ -46,7 +46,7 @@ def _bin_of(df: DataFrame, col: str, rank: int) -> tuple[float, float, int, int]
     Each pass counts the rows of ``BINS`` equal parts of the last range, so a
     task sends at most so many counts, whatever the number of rows.
     """
-    c = F.col(col)
+    c = F.col(col).cast("double")
     values = df.where(c.isNotNull() & ~F.isnan(c))
     low, high, inside = values.agg(F.min(c), F.max(c), F.count(F.lit(1))).first()
     if not inside or rank >= inside:
@@ -76,15 +76,15 @@ def kth(df: DataFrame, col: str, rank: int) -> float | None:
     low, high, below, inside = at
     if low == high:
         return low
-    c = F.col(col)
+    c = F.col(col).cast("double")
     if inside <= LAST:
-        return sorted(r[0] for r in df.where((c >= low) & (c <= high)).select(c).collect())[rank - below]
-    return numbered(df.where((c >= low) & (c <= high)).select(c), [c.asc()]).where(F.col("rn") == rank - below + 1).first()[0]
+        return sorted(r[0] for r in df.where((c >= low) & (c <= high)).select(c.alias("x")).collect())[rank - below]
+    return numbered(df.where((c >= low) & (c <= high)).select(c.alias("x")), [F.asc("x")]).where(F.col("rn") == rank - below + 1).first()["x"]
 
 
 def quantile(df: DataFrame, col: str, q: float) -> float | None:
     """The exact quantile with linear interpolation between the two nearest values; None without values."""
-    c = F.col(col)
+    c = F.col(col).cast("double")
     n = df.where(c.isNotNull() & ~F.isnan(c)).count()
     if not n:
         return None
