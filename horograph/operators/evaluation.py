@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,11 @@ from horograph.runtime import materialize
 
 def metrics(cands: DataFrame, higher_is_link: bool, bins: int = 10) -> DataFrame:
     """One row: f1, auc, hits@20 and the lift of the first bin."""
-    c = materialize(cands)
-    first = ranking.lift_curve(c, bins, higher_is_link).where("bin = 0").select(F.col("lift").alias("first_lift"), F.col("positives").alias("captured"))
-    return ranking.precision_recall_f1(c, None, higher_is_link).select("f1").crossJoin(ranking.roc_auc(c, higher_is_link)).crossJoin(ranking.hits_at(c, 20, higher_is_link)).crossJoin(first)
+    # ranked once for all of them
+    c = materialize(ranking.ranked(cands, higher_is_link))
+    first = ranking.lift_of(c, bins).where("bin = 0").select(F.col("lift").alias("first_lift"), F.col("positives").alias("captured"))
+    rows = c.drop("rn")
+    return ranking.precision_of(c).select("f1").crossJoin(ranking.roc_auc(rows, higher_is_link)).crossJoin(ranking.hits_at(rows, 20, higher_is_link)).crossJoin(first)
 
 
 def prepare_splits(edges: DataFrame, seeds: list[int], q: float = 0.9, giant: bool = False) -> dict[int, DataFrame]:
@@ -33,6 +36,17 @@ def prepare_splits(edges: DataFrame, seeds: list[int], q: float = 0.9, giant: bo
     return out
 
 
+#: Candidates of the splits in use, so that methods on one split share them.
+_KNOWN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _candidates(split: DataFrame) -> DataFrame:
+    if split not in _KNOWN:
+        nodes = split.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+        _KNOWN[split] = materialize(links.candidates(split, nodes))
+    return _KNOWN[split]
+
+
 def evaluate(splits: dict[int, DataFrame], method: str, score: Callable[[DataFrame, DataFrame], DataFrame], higher_is_link: bool = False) -> DataFrame:
     """(method, seed, f1, auc, hits, first_lift, captured).
 
@@ -42,8 +56,7 @@ def evaluate(splits: dict[int, DataFrame], method: str, score: Callable[[DataFra
     out, worst = None, F.lit(float("-inf") if higher_is_link else float("inf"))
     for seed, split in splits.items():
         train = materialize(graph.unweighted(links.training_graph(split)))
-        nodes = split.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-        c = links.candidates(split, nodes)
+        c = _candidates(split)
         known = score(train, c).select("src", "dst", "score", F.lit(True).alias("known"))
         value = F.when(F.col("known"), F.col("score")).otherwise(worst)
         scored = c.join(known, ["src", "dst"], "left").select(F.xxhash64("src", "dst").alias("cand_id"), value.alias("score"), "is_positive")

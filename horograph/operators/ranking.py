@@ -29,7 +29,11 @@ def ranked(cands: DataFrame, higher_is_link: bool = True) -> DataFrame:
 
 def precision_recall_f1(cands: DataFrame, k: int | None = None, higher_is_link: bool = True) -> DataFrame:
     """One row: k, hits, precision, recall, f1; without ``k`` the number of positives; 0 where undefined."""
-    r = ranked(cands, higher_is_link)
+    return precision_of(ranked(cands, higher_is_link), k)
+
+
+def precision_of(r: DataFrame, k: int | None = None) -> DataFrame:
+    """``precision_recall_f1`` of candidates that are ranked already."""
     positives = r.agg(F.sum(F.col("is_positive").cast("bigint")).alias("positives"))
     cut = F.col("positives") if k is None else F.lit(k).cast("bigint")
     hits = r.join(F.broadcast(positives)).agg(
@@ -64,7 +68,11 @@ def hits_at(cands: DataFrame, k: int = 20, higher_is_link: bool = True) -> DataF
 
 def lift_curve(cands: DataFrame, bins: int = 10, higher_is_link: bool = True) -> DataFrame:
     """(bin, n, positives, rate, lift): bins of floor(n / bins) candidates, the last one takes the rest."""
-    r = ranked(cands, higher_is_link)
+    return lift_of(ranked(cands, higher_is_link), bins)
+
+
+def lift_of(r: DataFrame, bins: int = 10) -> DataFrame:
+    """``lift_curve`` of candidates that are ranked already."""
     all_ = r.agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("is_positive").cast("bigint")).alias("all_pos"))
     size = F.greatest(F.lit(1), F.floor(F.col("all") / bins))
     place = F.least(F.floor((F.col("rn") - 1) / size), F.lit(bins - 1)).cast("int")

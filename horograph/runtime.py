@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Sequence
 
@@ -30,6 +32,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
             if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             wanted = tempfile.mkdtemp(prefix="horograph-")
+            atexit.register(shutil.rmtree, wanted, ignore_errors=True)
         sc.setCheckpointDir(wanted)
         now = sc.getCheckpointDir()
     return now
