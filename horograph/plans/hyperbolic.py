@@ -153,15 +153,12 @@ def pair_distance_polar(spark, d):
     return pairs.polar_distances(emb(spark, d)).withColumn("d", F.round("d", 6))
 
 
-def _by_label(spark, d, kernel_nodes: DataFrame, kernel) -> DataFrame:
-    p = pairs.all_pairs(kernel_nodes, kernel)
-    lab = emb(spark, d).select("node_id", "label")
-    g = pairs.gather(p, lab, ["label"])
-    return g.groupBy(F.least("label_i", "label_j").alias("a"), F.greatest("label_i", "label_j").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.max("d"), 6).alias("largest"))
+def _rounded(p: DataFrame) -> DataFrame:
+    return p.select("i", "j", F.round("d", 6).alias("d"))
 
 
-def _label_sql(expr: str) -> str:
-    return _PAIRS + f", s AS (SELECT least(li, lj) AS a, greatest(li, lj) AS b, {expr} AS d FROM p) SELECT a, b, CAST(count(*) AS BIGINT) AS n, round(avg(d), 6) AS mean, round(max(d), 6) AS largest FROM s GROUP BY 1, 2"
+def _pair_sql(expr: str) -> str:
+    return _PAIRS + f"SELECT i, j, round({expr}, 6) AS d FROM p"
 
 
 def _ball_kernel(curvature: float, ceiling: bool):
@@ -180,17 +177,17 @@ def _ball_nodes(spark, d):
     return emb(spark, d).withColumn("v", charts.polar_to_ball(F.col("r"), F.col("v")))
 
 
-@catalog.add("pair_distance_ball", _label_sql("least(d, 16.811242831518264)"))
+@catalog.add("pair_distance_ball", _pair_sql("least(d, 16.811242831518264)"))
 def pair_distance_ball(spark, d):
-    return _by_label(spark, d, _ball_nodes(spark, d), _ball_kernel(1.0, True))
+    return _rounded(pairs.all_pairs(_ball_nodes(spark, d), _ball_kernel(1.0, True)))
 
 
-@catalog.add("pair_distance_curvature", _label_sql("d / sqrt(2.5)"))
+@catalog.add("pair_distance_curvature", _pair_sql("d / sqrt(2.5)"))
 def pair_distance_curvature(spark, d):
-    return _by_label(spark, d, _ball_nodes(spark, d), _ball_kernel(2.5, False))
+    return _rounded(pairs.all_pairs(_ball_nodes(spark, d), _ball_kernel(2.5, False)))
 
 
-@catalog.add("pair_distance_lorentz", _label_sql("d"))
+@catalog.add("pair_distance_lorentz", _pair_sql("d"))
 def pair_distance_lorentz(spark, d):
     import numpy as np
 
@@ -199,7 +196,7 @@ def pair_distance_lorentz(spark, d):
         flip[:, 1:] *= -1
         return np.arccosh(np.maximum(1.0, h1 @ flip.T))
 
-    return _by_label(spark, d, emb(spark, d).withColumn("v", charts.polar_to_hyperboloid(F.col("r"), F.col("v"))), run)
+    return _rounded(pairs.all_pairs(emb(spark, d).withColumn("v", charts.polar_to_hyperboloid(F.col("r"), F.col("v"))), run))
 
 
 @catalog.add("gathered_distance", _PAIRS + "SELECT i, j, round(d, 6) AS d FROM p WHERE li = lj")
