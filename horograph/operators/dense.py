@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from horograph.operators import spectral
+from horograph.runtime import is_small, materialize
+
 MAX_NODES = 5000
 
 
@@ -146,7 +149,10 @@ def laplacian_eigenmaps(a: np.ndarray, dim: int) -> np.ndarray:
     root = np.where(s > 0, 1 / np.sqrt(np.where(s > 0, s, 1.0)), 0.0)
     lap = np.eye(len(a)) - root[:, None] * a * root[None]
     _, vectors = np.linalg.eigh((lap + lap.T) / 2)
-    u = vectors[:, 1 : dim + 1]
+    return unit_rows(vectors[:, 1 : dim + 1])
+
+
+def unit_rows(u: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(u, axis=1, keepdims=True)
     return np.where(n > 1e-12, u / np.where(n > 1e-12, n, 1.0), np.eye(1, u.shape[1]))
 
@@ -255,6 +261,40 @@ def on_graph(edges: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], pd.Dat
     return edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).groupBy(F.lit(0).alias("all")).applyInPandas(lambda rows: run(rows), schema)
 
 
+def numbered_edges(rows: pd.DataFrame) -> tuple[np.ndarray, spectral.LocalRows]:
+    """(sorted ids, rows of the matrix) of edges src, dst, weight."""
+    ids, at = np.unique(rows[["src", "dst"]].to_numpy(np.int64).ravel(), return_inverse=True)
+    i, j = at.reshape(-1, 2).T
+    return ids, spectral.LocalRows(i, j, rows["weight"].to_numpy(float), len(ids))
+
+
+def on_rows(edges: DataFrame, solve: Callable, columns: Callable[[object], dict], schema: str) -> DataFrame:
+    """(node_id, the columns of ``schema``) of ``solve(rows, product, nodes)``.
+
+    Up to ``spectral.LOCAL_EDGES`` edges one task holds the rows of the graph;
+    beyond, the rows stay in the cluster, ``rows`` is None and this process
+    holds blocks of vectors only.
+    """
+    edges = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    edges = materialize(edges)
+
+    def frame(ids: np.ndarray, found: object) -> pd.DataFrame:
+        return pd.DataFrame({"node_id": ids} | {k: x.tolist() for k, x in columns(found).items()})
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        ids, rows = numbered_edges(part)
+        return frame(ids, solve(rows, rows.times, len(ids)))
+
+    schema = f"node_id bigint, {schema}"
+    if is_small(edges, spectral.LOCAL_EDGES):
+        return edges.groupBy(F.lit(0).alias("all")).applyInPandas(lambda part: run(part), schema)
+    from horograph.operators.graph import relabel
+
+    small, table = relabel(edges)
+    ids = table.orderBy("pos").select("node_id").toPandas()["node_id"].to_numpy()
+    return edges.sparkSession.createDataFrame(frame(ids, solve(None, spectral.shared_product(small, len(ids)), len(ids))), schema)
+
+
 def forest_matrix(edges: DataFrame) -> DataFrame:
     """(i, j, q) for all ordered pairs."""
 
@@ -282,8 +322,11 @@ def eigenmaps(edges: DataFrame, dim: int = 2) -> DataFrame:
 
 
 def adjacency_spectral(edges: DataFrame, dim: int = 8) -> DataFrame:
-    def kernel(ids: np.ndarray, a: np.ndarray) -> pd.DataFrame:
-        x, sign = spectral_embedding(a, dim)
-        return pd.DataFrame({"node_id": ids, "x": x.tolist(), "signs": [sign.tolist()] * len(ids)})
+    """(node_id, x, signs); the graph is held by its rows, whatever the number of nodes."""
+    edges = edges.select("src", "dst", F.lit(1.0).alias("weight"))
+
+    def solve(rows: spectral.LocalRows | None, times: spectral.Product, n: int) -> tuple[np.ndarray, np.ndarray]:
+        values, vectors = spectral.outer_pairs(times, n, dim)
+        return vectors * np.sqrt(np.abs(values)), np.sign(values)
 
-    return on_graph(edges, kernel, "node_id bigint, x array<double>, signs array<double>", weighted=False)
+    return on_rows(edges, solve, lambda f: {"x": f[0], "signs": np.repeat(f[1][None], len(f[0]), axis=0)}, "x array<double>, signs array<double>")
