@@ -157,6 +157,29 @@ def unit_rows(u: np.ndarray) -> np.ndarray:
     return np.where(n > 1e-12, u / np.where(n > 1e-12, n, 1.0), np.eye(1, u.shape[1]))
 
 
+def laplacian_pairs(rows: spectral.LocalRows | None, times: spectral.Product, n: int, dim: int) -> np.ndarray:
+    """The eigenvectors 0..dim of the symmetric normalised Laplacian, as columns.
+
+    The null space is known: the roots of the strengths inside each component.
+    The first vector has all of them; the next ones set the components apart,
+    the largest first.
+    """
+    strength = times(np.ones((n, 1)))[:, 0]
+    root = np.where(strength > 0, 1 / np.sqrt(np.where(strength > 0, strength, 1.0)), 0.0)[:, None]
+    null = np.sqrt(np.maximum(strength, 0.0))[:, None]
+    if rows is not None:
+        label = rows.components()
+        parts, size = np.unique(label[strength > 0], return_counts=True)
+        for c in parts[np.argsort(-size, kind="stable")][: min(dim, len(parts) - 1)]:
+            null = np.hstack([null, np.where(label == c, null[:, 0], 0.0)[:, None]])
+    null = np.linalg.qr(null)[0] * -1.0
+    if null.shape[1] > dim:
+        return null[:, : dim + 1]
+    # a shift by 1 makes the largest value of the adjacency the largest by modulus too
+    _, rest = spectral.outer_pairs(lambda x: root * times(root * x) + x, n, dim + 1 - null.shape[1], spectral.by_value, null)
+    return np.hstack([null, rest])
+
+
 def spectral_embedding(a: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Adjacency spectral embedding: (X, signs) with X diag(signs) X' the best rank-``dim`` fit by modulus."""
     values, vectors = np.linalg.eigh(a)
@@ -318,7 +341,8 @@ def hydra_embedding(edges: DataFrame, dim: int = 2, curvature: float | None = 1.
 
 
 def eigenmaps(edges: DataFrame, dim: int = 2) -> DataFrame:
-    return on_graph(edges, lambda ids, a: pd.DataFrame({"node_id": ids, "v": laplacian_eigenmaps(a, dim).tolist()}), "node_id bigint, v array<double>")
+    """(node_id, v); the graph is held by its rows, whatever the number of nodes."""
+    return on_rows(edges, lambda rows, times, n: laplacian_pairs(rows, times, n, dim)[:, 1 : dim + 1], lambda u: {"v": unit_rows(u)}, "v array<double>")
 
 
 def adjacency_spectral(edges: DataFrame, dim: int = 8) -> DataFrame:

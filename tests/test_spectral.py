@@ -47,3 +47,27 @@ def test_more_nodes_than_a_dense_matrix_may_have(spark):
     x = {r["node_id"]: r["x"] for r in rows}
     assert abs(sum(s * a * b for s, a, b in zip(rows[0]["signs"], x[0], x[17])) - 1) < 1e-8
     assert abs(np.square(x[0]).sum() - np.sqrt(n - 1)) < 1e-6
+
+
+def test_eigenmaps(spark, monkeypatch):
+    e = graph(300, 900)
+    connected = e[e["dst"] < 7 * 300]
+    ids, a = dense.adjacency(connected)
+    ids, rows = dense.numbered_edges(connected)
+    parts = len(np.unique(rows.components()))
+    strength = a.sum(axis=1)
+    lap = np.eye(len(a)) - a / np.sqrt(strength[:, None] * strength[None])
+    u = dense.laplacian_pairs(rows, rows.times, len(ids), parts + 2)
+    values = np.linalg.eigvalsh(lap)[: parts + 3]
+    assert np.allclose(u.T @ u, np.eye(parts + 3), atol=1e-9)
+    assert np.allclose(lap @ u, u * values, atol=1e-7)
+    for limit in (spectral.LOCAL_EDGES, 10):
+        monkeypatch.setattr(spectral, "LOCAL_EDGES", limit)
+        got = {r["node_id"]: r["v"] for r in dense.eigenmaps(table(spark, e), 2).collect()}
+        assert len(got) == len(np.unique(e[["src", "dst"]])) and all(abs(np.linalg.norm(v) - 1) < 1e-9 for v in got.values())
+
+
+def test_eigenmaps_of_many_nodes(spark):
+    n = 5200
+    e = pd.DataFrame({"src": np.zeros(n - 1, int), "dst": np.arange(1, n), "weight": 1.0})
+    assert dense.eigenmaps(table(spark, e), 2).count() == n
