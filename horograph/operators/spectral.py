@@ -52,6 +52,9 @@ class LocalRows:
             out[a:b] = np.bitwise_or.reduceat(x[self.cols[lo : self.begin[b]]], self.begin[a:b] - lo, axis=0)
         return out
 
+    def strengths(self) -> np.ndarray:
+        return np.add.reduceat(self.vals, self.begin[:-1])
+
     def components(self) -> np.ndarray:
         """The smallest node of the component of every node; entries of 0 don't link."""
         on = self.vals != 0
@@ -131,7 +134,7 @@ def both_ends(values: np.ndarray) -> np.ndarray:
     return np.r_[order[-1:], order[:-1]]
 
 
-def outer_pairs(product: Product, n: int, count: int, order: Callable[[np.ndarray], np.ndarray] = by_modulus, away: np.ndarray | None = None, tolerance: float = 1e-10, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+def outer_pairs(product: Product, n: int, count: int, order: Callable[[np.ndarray], np.ndarray] = by_modulus, away: np.ndarray | None = None, tolerance: float = 1e-10, rounds: int = 2000, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """(values, vectors) of the first ``count`` eigenpairs by ``order``, orthogonal to the columns of ``away``.
 
     A round spans the products of a block and joins the best vectors of that
@@ -142,7 +145,7 @@ def outer_pairs(product: Product, n: int, count: int, order: Callable[[np.ndarra
     room = n - held.shape[1]
     count = min(count, room)
     width = min(room, count + 8)
-    steps = max(1, min(20, room // width, max(3, VECTORS // (2 * n * width))))
+    steps = max(1, min(steps, room // width, max(3, VECTORS // (2 * n * width))))
 
     def clean(x: np.ndarray, *known: np.ndarray) -> np.ndarray:
         for _ in range(3):

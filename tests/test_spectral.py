@@ -71,3 +71,16 @@ def test_eigenmaps_of_many_nodes(spark):
     n = 5200
     e = pd.DataFrame({"src": np.zeros(n - 1, int), "dst": np.arange(1, n), "weight": 1.0})
     assert dense.eigenmaps(table(spark, e), 2).count() == n
+
+
+def test_hydra_in_blocks_of_hops(spark, monkeypatch):
+    from horograph.operators.graph import largest_component
+
+    edges = largest_component(table(spark, graph(200, 500)))
+    _, a = dense.adjacency(edges.toPandas())
+    want = dense.hydra(dense.hop_matrix(a))
+    monkeypatch.setattr(dense, "WHOLE_NODES", 10)
+    monkeypatch.setattr(dense, "MAX_NODES", 10)
+    got = dense.hydra_embedding(edges).orderBy("node_id").toPandas()
+    assert np.allclose(got["r"], want["r"], atol=1e-9)
+    assert abs(got["stress"][0] - want["stress"]) < 1e-6 * want["stress"] + 0.5 and abs(got["strain"][0] - want["strain"]) < 1e-7 * want["strain"]
