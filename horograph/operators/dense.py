@@ -335,14 +335,91 @@ def on_rows(edges: DataFrame, solve: Callable, columns: Callable[[object], dict]
     return edges.sparkSession.createDataFrame(frame(ids, solve(None, spectral.shared_product(small, len(ids)), len(ids))), schema)
 
 
-def forest_matrix(edges: DataFrame) -> DataFrame:
-    """(i, j, q) for all ordered pairs."""
+def apart(rows: spectral.LocalRows) -> np.ndarray:
+    """Which nodes to eliminate first: no two of them are linked, those of few links are preferred."""
+    chosen, free = np.zeros(rows.n, bool), np.ones(rows.n, bool)
+    for k in np.argsort(np.diff(rows.begin), kind="stable"):
+        if free[k]:
+            chosen[k] = True
+            free[rows.cols[rows.begin[k] : rows.begin[k + 1]]] = False
+    return chosen
+
+
+def invert_in_place(a: np.ndarray, block: int = 512) -> np.ndarray:
+    """The inverse of a symmetric positive definite matrix in its own place, by blocks of pivots."""
+    n = len(a)
+    for s in range(0, n, block):
+        k = slice(s, min(n, s + block))
+        pivot = np.linalg.inv(a[k, k])
+        row = pivot @ a[k]
+        row[:, k] = 0.0
+        for t in range(0, n, block):
+            if t != s:
+                i = slice(t, min(n, t + block))
+                left = a[i, k].copy()
+                a[i] -= left @ row
+                a[i, k] = -left @ pivot
+        a[k], a[k, k] = row, pivot
+    return a
 
-    def kernel(ids: np.ndarray, a: np.ndarray) -> pd.DataFrame:
-        q = forest(a)
-        return pd.DataFrame({"i": np.repeat(ids, len(ids)), "j": np.tile(ids, len(ids)), "q": q.ravel()})
 
-    return on_graph(edges, kernel, "i bigint, j bigint, q double")
+def forest_matrix(edges: DataFrame) -> DataFrame:
+    """(i, j, q) for all ordered pairs, whatever the number of nodes: an output of quadratic size.
+
+    Nodes that are not linked to each other are eliminated, since their part of
+    I + L is diagonal; one task inverts what is left of the matrix and gives
+    each row of the result at the nodes left, from which the rows follow in
+    many tasks.
+    """
+    spark = edges.sparkSession
+    # fewer numbers than the output has
+    part = edges.select("src", "dst", F.col("weight").cast("double").alias("weight")).toPandas()
+    if not len(part):
+        return spark.createDataFrame([], "i bigint, j bigint, q double")
+    ids, rows = numbered_edges(part)
+    shared = spark.sparkContext.broadcast((ids, rows, apart(rows)))
+
+    def solved(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, out = shared.value
+        n, place = len(ids), np.cumsum(~out) - 1
+        core = np.flatnonzero(~out)
+        d = 1.0 + rows.strengths()
+        s = np.zeros((len(core), len(core)))
+        s[np.arange(len(core)), np.arange(len(core))] = d[core]
+        links = {}
+        for k in range(n):
+            lo, hi = rows.begin[k], rows.begin[k + 1]
+            cols, vals = rows.cols[lo:hi], rows.vals[lo:hi]
+            if out[k]:
+                c = place[cols]
+                s[np.ix_(c, c)] -= np.outer(vals, vals / d[k])
+                links[k] = (c, vals / d[k])
+            else:
+                inner = ~out[cols]
+                s[place[k], place[cols[inner]]] -= vals[inner]
+        s = invert_in_place(s)
+        for k in range(n):
+            y = links[k][1] @ s[links[k][0]] if out[k] else s[place[k]]
+            yield pa.record_batch({"pos": pa.array([k], pa.int64()), "y": pa.array([np.ascontiguousarray(y).tobytes()], pa.binary())})
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows, out = shared.value
+        place, d = np.cumsum(~out) - 1, 1.0 + rows.strengths()
+        keep = np.repeat(out, np.diff(rows.begin))
+        cols, vals = place[rows.cols[keep]], rows.vals[keep]
+        begin = np.r_[0, np.cumsum(np.diff(rows.begin)[out])][:-1]
+        for b in batches:
+            for k, y in zip(b.column("pos").to_pylist(), b.column("y")):
+                y = np.frombuffer(y.as_buffer(), float)
+                q = np.empty(len(ids))
+                q[~out] = y
+                q[out] = np.add.reduceat(y[cols] * vals, begin) / d[out]
+                if out[k]:
+                    q[k] += 1 / d[k]
+                yield pa.record_batch({"i": pa.array(np.full(len(ids), ids[k])), "j": pa.array(ids), "q": pa.array(q)})
+
+    rows_of = spark.range(0, 1, 1, 1).mapInArrow(solved, "pos bigint, y binary")
+    return rows_of.repartition(max(tasks_of(edges), len(ids) // 256)).mapInArrow(whole, "i bigint, j bigint, q double")
 
 
 class HopBlocks:

@@ -73,6 +73,28 @@ def test_eigenmaps_of_many_nodes(spark):
     assert dense.eigenmaps(table(spark, e), 2).count() == n
 
 
+def test_forest_matrix(spark):
+    e = graph(60, 150)
+    ids, a = dense.adjacency(e)
+    got = {(r["i"], r["j"]): r["q"] for r in dense.forest_matrix(table(spark, e)).collect()}
+    want = dense.forest(a)
+    assert len(got) == len(ids) ** 2
+    assert np.allclose([[got[i, j] for j in ids] for i in ids], want, atol=1e-12)
+
+
+def test_forest_matrix_of_many_nodes(spark):
+    n = 5200
+    e = pd.DataFrame({"src": np.zeros(n - 1, int), "dst": np.arange(1, n), "weight": 1.0})
+    row = dense.forest_matrix(table(spark, e)).where("i = 5").selectExpr("count(*) AS n", "sum(q) AS total", "max(q) AS own").first()
+    assert row["n"] == n and abs(row["total"] - 1) < 1e-9 and row["own"] > 0.5
+
+
+def test_inverse_in_blocks():
+    x = np.random.default_rng(0).normal(size=(37, 37))
+    a = x @ x.T + np.eye(37)
+    assert np.allclose(dense.invert_in_place(a.copy(), 10), np.linalg.inv(a))
+
+
 def test_hydra_in_blocks_of_hops(spark, monkeypatch):
     from horograph.operators.graph import largest_component
 
