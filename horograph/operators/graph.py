@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from horograph.runtime import is_small, materialize
 
 #: Up to so many edges a search from all nodes sends the whole graph to every task (16 bytes an edge and direction).
 HOP_EDGES = 4_000_000
+#: Up to so many nodes the closure of a network is one matrix of bytes in a task, and at most its square of rows.
+CLOSURE_NODES = 4000
 
 
 def canonical_edges(df: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = None) -> DataFrame:
@@ -226,6 +229,44 @@ def transitive_closure(edges: DataFrame, child: str = "src", parent: str = "dst"
     raise RuntimeError("closure did not settle")
 
 
+def reached(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, their ancestors) of the edges src -> dst of one graph."""
+    ids, at = np.unique(np.r_[src, dst], return_inverse=True)
+    a, b = at.reshape(2, -1)
+    n = len(ids)
+    link = np.zeros((n, n), bool)
+    link[a, b] = True
+    near, reach = [np.flatnonzero(row) for row in link], link.copy()
+    # from the last node up one pass is enough where every edge points to a later node
+    while True:
+        before = np.count_nonzero(reach)
+        for k in range(n - 1, -1, -1):
+            if len(near[k]):
+                reach[k] |= reach[near[k]].any(axis=0)
+        if (a < b).all() or np.count_nonzero(reach) == before:
+            i, j = np.nonzero(reach)
+            return ids[i], ids[j]
+
+
+def network_closures(edges: DataFrame) -> DataFrame:
+    """(net_id, child, ancestor): the closure of every network of (net_id, src, dst), each in one task; networks of more than ``CLOSURE_NODES`` nodes by joins."""
+    size = edges.select("net_id", F.explode(F.array("src", "dst")).alias("node_id")).groupBy("net_id").agg(F.countDistinct("node_id").alias("nodes"))
+    wide = materialize(size.where(F.col("nodes") > CLOSURE_NODES).select("net_id"))
+
+    def run(table: pa.Table) -> pa.Table:
+        child, ancestor = reached(table["src"].to_numpy(), table["dst"].to_numpy())
+        return pa.table({"net_id": np.full(len(child), table["net_id"][0].as_py()), "child": child, "ancestor": ancestor})
+
+    few = wide.limit(1).count() == 0
+    small = edges if few else edges.join(wide, "net_id", "left_anti")
+    out = small.select("net_id", "src", "dst").groupBy("net_id").applyInArrow(run, "net_id bigint, child bigint, ancestor bigint")
+    if few:
+        return out
+    node = lambda c: F.struct("net_id", F.col(c).alias("node_id")).alias(c)
+    c = transitive_closure(edges.join(wide, "net_id", "left_semi").select(node("src"), node("dst")))
+    return out.unionByName(c.select("child.net_id", F.col("child.node_id").alias("child"), F.col("ancestor.node_id").alias("ancestor")))
+
+
 def knn_graph(pairs: DataFrame, k: int = 15, symmetric: bool = True) -> DataFrame:
     """(src, dst, weight) from pair distances (i, j, d): the ``k`` nearest of each node, equal distances by id.
 

@@ -106,3 +106,23 @@ def test_hydra_in_blocks_of_hops(spark, monkeypatch):
     got = dense.hydra_embedding(edges).orderBy("node_id").toPandas()
     assert np.allclose(got["r"], want["r"], atol=1e-9)
     assert abs(got["stress"][0] - want["stress"]) < 1e-6 * want["stress"] + 0.5 and abs(got["strain"][0] - want["strain"]) < 1e-7 * want["strain"]
+
+
+def test_closures_of_networks(spark, monkeypatch):
+    from horograph.operators import graph as g
+
+    rng = np.random.default_rng(1)
+    rows = {(int(k), int(min(a, b)), int(max(a, b))) for k, a, b in zip(rng.integers(0, 3, 90), rng.integers(0, 40, 90), rng.integers(0, 40, 90)) if a != b}
+    # a ring: edges that don't point to later nodes
+    rows |= {(9, k, (k + 1) % 5) for k in range(5)}
+    want = {(n, a, b) for n, a, b in rows}
+    while True:
+        more = want | {(n, a, d) for n, a, b in want for m, c, d in rows if m == n and c == b}
+        if more == want:
+            break
+        want = more
+    e = spark.createDataFrame(sorted(rows), "net_id bigint, src bigint, dst bigint")
+    for limit in (g.CLOSURE_NODES, 20):
+        monkeypatch.setattr(g, "CLOSURE_NODES", limit)
+        got = [tuple(r) for r in g.network_closures(e).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
