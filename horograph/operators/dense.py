@@ -114,13 +114,13 @@ def hydra_points(time: np.ndarray, space: np.ndarray, low: np.ndarray, alpha: fl
     return 2 * np.arctanh(np.minimum(rho, 1 - 1e-12)), direction
 
 
-def hydra(d: np.ndarray, dim: int = 2, curvature: float = 1.0, **kw) -> dict:
-    """Spectral embedding of a distance matrix: norm in the ball, directions, stress and strain; further arguments as of ``hydra_points``."""
+def hydra(d: np.ndarray, dim: int = 2, curvature: float = 1.0, alpha: float = 1.1, equi: float = 0.5, isotropic: bool | None = None) -> dict:
+    """Spectral embedding of a distance matrix: norm in the ball, directions, stress and strain."""
     gram = np.cosh(math.sqrt(curvature) * d)
     if not np.isfinite(gram).all():
         raise ValueError("distances are too large for this curvature")
     values, vectors = np.linalg.eigh(gram)
-    r, direction = hydra_points(vectors[:, -1] * math.sqrt(values[-1]), vectors[:, :dim], values[:dim], **kw)
+    r, direction = hydra_points(vectors[:, -1] * math.sqrt(values[-1]), vectors[:, :dim], values[:dim], alpha, equi, isotropic)
     upper = np.triu_indices(len(d), 1)
     fitted = polar_matrix(r, direction)[upper] / math.sqrt(curvature)
     dropped = np.r_[values[dim:-1]]
