@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import weakref
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from horograph.functions import distances
 from horograph.functions.charts import polar_to_ball
-from horograph.operators import curvature, dense, graph, links, parameters, ranking
+from horograph.operators import curvature, dense, graph, links, parameters, ranked_pairs, ranking
 from horograph.operators.ordering import running_totals
-from horograph.runtime import materialize
+from horograph.runtime import is_small, materialize
 
 
 def metrics(cands: DataFrame, higher_is_link: bool, bins: int = 10) -> DataFrame:
@@ -52,7 +54,10 @@ def evaluate(splits: dict[int, DataFrame], method: str, score: Callable[[DataFra
 
     ``score(train, candidates)`` returns the candidates (src, dst) with ``score``;
     those it leaves out, such as nodes without a training edge, count as the worst.
+    ``PointScores`` are ranked without a table of the candidates.
     """
+    if isinstance(score, PointScores) and splits and (ends := {s: _ends(split) for s, split in splits.items()}) and all(e is not None and len(e[0]) * score.dim <= HELD for e in ends.values()):
+        return _evaluate_points(splits, ends, method, score, higher_is_link)
     out, worst = None, F.lit(float("-inf") if higher_is_link else float("inf"))
     for seed, split in splits.items():
         train = materialize(graph.unweighted(links.training_graph(split)))
@@ -113,17 +118,57 @@ def embedding_scores(embedder) -> Callable[[DataFrame, DataFrame], DataFrame]:
     return score
 
 
-def spectral_scores(dim: int = 8) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Signed dot products of the adjacency spectral embedding."""
+#: Up to so many coordinates and removed edges of a split are held by the driver and each task; beyond, the candidates are written.
+HELD = 20_000_000
+#: (sorted nodes, ends of the removed edges) of the splits in use; None where they are more than ``HELD``.
+_ENDS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
-    def score(train: DataFrame, cands: DataFrame) -> DataFrame:
-        x = materialize(dense.adjacency_spectral(train, dim))
+
+def _ends(split: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    if split not in _ENDS:
+        nodes = split.select(F.explode(F.array(F.col("src").cast("bigint"), F.col("dst").cast("bigint"))).alias("node_id")).where("node_id IS NOT NULL").distinct()
+        removed = split.where(F.col("part") == "R").select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+        _ENDS[split] = None
+        if is_small(removed, HELD) and is_small(nodes, HELD):
+            t = removed.toArrow()
+            _ENDS[split] = np.sort(nodes.toArrow().column("node_id").to_numpy()), t.column("src").to_numpy(), t.column("dst").to_numpy()
+    return _ENDS[split]
+
+
+@dataclass(frozen=True)
+class PointScores:
+    """Scores that are signed dot products of points in ``dim`` dimensions; ``points(train)``: (node_id, x, signs)."""
+
+    dim: int
+    points: Callable[[DataFrame], DataFrame]
+
+    def __call__(self, train: DataFrame, cands: DataFrame) -> DataFrame:
+        x = materialize(self.points(train))
         a = x.select(F.col("node_id").alias("src"), F.col("x").alias("p"), "signs")
         b = x.select(F.col("node_id").alias("dst"), F.col("x").alias("q"))
         dot = F.aggregate(F.zip_with(F.zip_with("p", "q", lambda u, v: u * v), "signs", lambda u, s: u * s), F.lit(0.0), lambda s, v: s + v)
         return cands.select("src", "dst").join(a, "src").join(b, "dst").select("src", "dst", dot.alias("score"))
 
-    return score
+
+def _evaluate_points(splits: dict[int, DataFrame], ends: dict[int, tuple], method: str, score: PointScores, higher_is_link: bool) -> DataFrame:
+    spark, points = next(iter(splits.values())).sparkSession, None
+    for seed, split in splits.items():
+        own = score.points(graph.unweighted(links.training_graph(split))).select(F.lit(seed).alias("seed"), "node_id", "x", "signs")
+        points = own if points is None else points.unionByName(own)
+    # the points of all splits in one job
+    t = points.toArrow()
+    of, nodes, held = t.column("seed").to_numpy(), t.column("node_id").to_numpy(), {}
+    x, signs = (t.column(c).combine_chunks().flatten().to_numpy().reshape(len(nodes), -1) for c in ("x", "signs"))
+    for seed in splits:
+        k = np.flatnonzero(of == seed)
+        held[seed] = ranked_pairs.Held.of(*ends[seed], nodes[k], x[k], signs[k[0]] if len(k) else np.zeros(x.shape[1]), higher_is_link)
+    found = ranked_pairs.metrics(held, splits)
+    return spark.createDataFrame([(method, seed, *found[seed]) for seed in splits], "method string, seed int, f1 double, auc double, hits double, first_lift double, captured bigint")
+
+
+def spectral_scores(dim: int = 8) -> PointScores:
+    """Signed dot products of the adjacency spectral embedding."""
+    return PointScores(dim, lambda train: dense.adjacency_spectral(train, dim))
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -193,4 +238,4 @@ def chart_errors(spark: SparkSession, radii: list[float], step: float = 1.0) ->
     return df.select("r", err(distances.polar(F.col("r"), v, s, v)).alias("polar"), err(ball).alias("ball"), err(distances.hyperboloid(h(F.col("r")), h(s))).alias("hyperboloid"))
 
 
-__all__ = ["advantage", "chart_errors", "compare", "correlations", "diagnose", "disk_coordinates", "embedding_scores", "evaluate", "ladder", "metrics", "plot_edges", "prepare_splits", "spectral_scores", "summary"]
+__all__ = ["PointScores", "advantage", "chart_errors", "compare", "correlations", "diagnose", "disk_coordinates", "embedding_scores", "evaluate", "ladder", "metrics", "plot_edges", "prepare_splits", "spectral_scores", "summary"]
